@@ -42,6 +42,12 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs, quality.fit(docs, _table(spark, sf_dir, "labels")))
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import jaccard
+
+    return jaccard.join(_table(spark, sf_dir, "documents"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import packing
 
@@ -60,4 +66,4 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.find_contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_secret_scan, op5_quality_rules, op8_packing, op9_url_filter, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_secret_scan, op5_quality_rules, op6_jaccard_join, op8_packing, op9_url_filter, op10_decontamination)}
