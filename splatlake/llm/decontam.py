@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernels import ALNUM, LOWER, Words, each_run, map_rows, strings
+from .kernels import ALNUM, LOWER, Words, each_run, map_documents, map_rows, restored, strings
 
 WINDOW = 10
 
@@ -156,18 +156,15 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int
     return out
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_bytes: int = 16 << 20, carry: tuple[str, ...] = ()) -> DataFrame:
-    """A row per document: n_words, n_hit, n_items, items_sha256, contaminated, and the longest match (words, start, item).
+NAMES = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated", "longest_match", "match_start", "match_item")
+SCHEMA = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, longest_match long, match_start long, match_item string"
 
-    ``block_bytes`` bounds what is sent to each task at once.  Blocks run in turn over all documents; since hit words of
-    several blocks may overlap, each block adds its hit positions and the last one counts them.
-    """
-    spark = docs.sparkSession
-    blocks = [spark.sparkContext.broadcast(b) for b in _blocks(benchmark, item_col, item_text_col, block_bytes)]
+
+def _finder(blocks, window: int):
     made: dict[int, Bench] = {}
 
     def fn(column: pa.Array) -> dict[str, pa.Array]:
-        per: dict[str, list] = {n: [] for n in ("n_words", "n_hit", "n_items", "items_sha256", "contaminated", "longest_match", "match_start", "match_item")}
+        per: dict[str, list] = {n: [] for n in NAMES}
         for _, _, words in each_run(column, ALNUM, LOWER, 4 << 20):
             if len(blocks) == 1:
                 if 0 not in made:
@@ -181,7 +178,21 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.int64(), pa.int64(), pa.string())
         return {n: pa.array(v, k) for (n, v), k in zip(per.items(), kinds)}
 
-    return map_rows(docs, [id_col, *carry], text_col, "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, longest_match long, match_start long, match_item string", fn)
+    return fn
+
+
+def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_bytes: int = 16 << 20, carry: tuple[str, ...] = ()) -> DataFrame:
+    """A row per document: n_words, n_hit, n_items, items_sha256, contaminated, and the longest match (words, start, item).
+
+    ``block_bytes`` bounds a block of the benchmark, of which a task holds one at a time.
+    """
+    blocks = _sent(benchmark, item_col, item_text_col, block_bytes)
+    return map_rows(docs, [id_col, *carry], text_col, SCHEMA, _finder(blocks, window))
+
+
+def _sent(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int) -> list:
+    context = benchmark.sparkSession.sparkContext
+    return [context.broadcast(b) for b in _blocks(benchmark, item_col, text_col, block_bytes)]
 
 
 def _many(words: Words, benches) -> list[tuple]:
@@ -219,8 +230,7 @@ def _cover(words: Words, bench: Bench, cover: np.ndarray) -> None:
     cover |= (np.cumsum(marks[:-1]) > 0)[np.arange(len(h)) + doc]
 
 
-def remove_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+def remove_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_bytes: int = 16 << 20) -> DataFrame:
     """The documents without a verbatim benchmark window; all columns stay."""
-    columns = docs.columns
-    flagged = find_contamination(docs.withColumn("__text", F.col(options.pop("text_col", "text"))), benchmark, id_col=columns[0], text_col="__text", carry=tuple(columns), **options)
-    return flagged.filter(~F.col("contaminated")).select(*[F.col(f"`{c}`") for c in columns])
+    blocks = _sent(benchmark, item_col, item_text_col, block_bytes)
+    return restored(map_documents(docs, text_col, SCHEMA, _finder(blocks, window)).filter("not contaminated"), docs.columns)

@@ -180,3 +180,19 @@ def map_rows(df, columns: list[str], text: str, schema: str, fn: Callable[[pa.Ar
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(len(kept))), *(made[n] for n in names)], names=[*kept, *names])
 
     return source.mapInArrow(each, out)
+
+
+def map_documents(df, text: str, schema: str, fn: Callable[[pa.Array], dict[str, pa.Array]]):
+    """All columns of df, whatever their names, as ``__c0``, ``__c1`` ... with what ``fn`` makes of the text."""
+    from pyspark.sql import functions as F
+
+    named = df.select(*[F.col(f"`{c}`").alias(f"__c{k}") for k, c in enumerate(df.columns)])
+    k = df.columns.index(text)
+    return map_rows(named.withColumn("__source", F.col(f"__c{k}")), named.columns, "__source", schema, fn)
+
+
+def restored(mapped, columns: list[str]):
+    """The columns of the frame that map_documents() was given."""
+    from pyspark.sql import functions as F
+
+    return mapped.select(*[F.col(f"__c{k}").alias(c) for k, c in enumerate(columns)])

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernels import NON_SPACE, Words, each_run, grams, map_rows, mix, spans_hash, sums_by
+from .kernels import NON_SPACE, Words, each_run, grams, map_documents, map_rows, mix, restored, spans_hash, sums_by
 
 SAMPLE_DOCS, SAMPLE_LINES, CONTENT_SHARE = 3000, 400, 0.5
 _SYMBOL, _UPPER, _DIGIT, _LOUD, _LEAD = (np.zeros(256, bool) for _ in range(5))
@@ -188,10 +188,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return Field.fit(sequences)
 
 
-def judge(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50, max_repeat_percent: int = 50, content_share: float = CONTENT_SHARE, carry: tuple[str, ...] = ()) -> DataFrame:
-    """A row per document: the counts, base_failed, content_share, n_lines, n_content_lines, kept; no shuffle."""
-    sent = docs.sparkSession.sparkContext.broadcast(field)
-    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_content_lines")
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_content_lines")
+SCHEMA = ", ".join(f"{n} long" for n in COUNTS) + ", content_share double, base_failed boolean, kept boolean"
+
+
+def _judge(sent, min_words: int, max_repeat_percent: int, content_share: float):
+    names = COUNTS
 
     def fn(column: pa.Array) -> dict[str, pa.Array]:
         field, out = sent.value, {n: [] for n in (*names, "content_share", "base_failed", "kept")}
@@ -214,5 +216,16 @@ def judge(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str =
         kinds = {"content_share": np.float64, "base_failed": bool, "kept": bool}
         return {n: pa.array(np.concatenate([np.zeros(0, kinds.get(n, np.int64)), *v]).astype(kinds.get(n, np.int64))) for n, v in out.items()}
 
-    schema = ", ".join(f"{n} long" for n in names) + ", content_share double, base_failed boolean, kept boolean"
-    return map_rows(docs, [id_col, *carry], text_col, schema, fn)
+    return fn
+
+
+def judge(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50, max_repeat_percent: int = 50, content_share: float = CONTENT_SHARE, carry: tuple[str, ...] = ()) -> DataFrame:
+    """A row per document: the counts, base_failed, content_share, n_lines, n_content_lines, kept; no shuffle."""
+    sent = docs.sparkSession.sparkContext.broadcast(field)
+    return map_rows(docs, [id_col, *carry], text_col, SCHEMA, _judge(sent, min_words, max_repeat_percent, content_share))
+
+
+def keep_good(docs: DataFrame, field: Field, text_col: str = "text", min_words: int = 50, max_repeat_percent: int = 50, content_share: float = CONTENT_SHARE) -> DataFrame:
+    """The documents that judge() keeps, with all their columns."""
+    sent = docs.sparkSession.sparkContext.broadcast(field)
+    return restored(map_documents(docs, text_col, SCHEMA, _judge(sent, min_words, max_repeat_percent, content_share)).filter("kept"), docs.columns)

@@ -142,7 +142,7 @@ def redact(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -> D
     """The documents with every span replaced by a mark; overlapping spans get one.  ``n_chars`` follows, if present."""
     from pyspark.sql import functions as F
 
-    from .kernels import map_rows
+    from .kernels import map_documents, restored
 
     def fn(column: pa.Array) -> dict[str, pa.Array]:
         out = []
@@ -160,7 +160,8 @@ def redact(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -> D
             out.append(b"".join([*parts, raw[last:]]).decode())
         return {"__clean": pa.array(out, pa.string())}
 
-    kept = [c for c in docs.columns if c != text_col]
-    out = map_rows(docs, kept, text_col, "__clean string", fn)
-    size = {"n_chars": F.when(F.col("__clean").isNull(), F.col("n_chars")).otherwise(F.length("__clean").cast(docs.schema["n_chars"].dataType))} if "n_chars" in docs.columns else {}
-    return out.select(*[F.col("__clean").alias(c) if c == text_col else size[c].alias(c) if c in size else F.col(f"`{c}`") for c in docs.columns])
+    out = map_documents(docs, text_col, "__clean string", fn)
+    out = out.withColumn(f"__c{docs.columns.index(text_col)}", F.col("__clean"))
+    if "n_chars" in docs.columns:
+        out = out.withColumn(f"__c{docs.columns.index('n_chars')}", F.coalesce(F.length("__clean"), F.col(f"__c{docs.columns.index('n_chars')}")).cast(docs.schema["n_chars"].dataType))
+    return restored(out, docs.columns)
