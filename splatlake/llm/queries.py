@@ -35,6 +35,15 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(_table(spark, sf_dir, "documents"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import toxicity
+
+    docs = _table(spark, sf_dir, "documents")
+    held = _fold("doc_id", 5) == 0
+    found = toxicity.score(docs, *toxicity.fit(docs, _table(spark, sf_dir, "labels"), ~held))
+    return found.select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "score", "predicted", "vote", "nearest_id", "nearest_similarity")
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import quality
 
@@ -48,6 +57,12 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(_table(spark, sf_dir, "documents"))
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import ngram_lm
+
+    return ngram_lm.score(_table(spark, sf_dir, "documents"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import packing
 
@@ -66,4 +81,4 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.find_contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_secret_scan, op5_quality_rules, op6_jaccard_join, op8_packing, op9_url_filter, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_secret_scan, op4_toxicity, op5_quality_rules, op6_jaccard_join, op7_lm_scoring, op8_packing, op9_url_filter, op10_decontamination)}
