@@ -35,6 +35,12 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(_table(spark, sf_dir, "documents"))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import passages
+
+    return passages.find(_table(spark, sf_dir, "documents"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import toxicity
 
@@ -81,4 +87,4 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.find_contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_secret_scan, op4_toxicity, op5_quality_rules, op6_jaccard_join, op7_lm_scoring, op8_packing, op9_url_filter, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_secret_scan, op3_substring_dedup, op4_toxicity, op5_quality_rules, op6_jaccard_join, op7_lm_scoring, op8_packing, op9_url_filter, op10_decontamination)}
