@@ -13,8 +13,11 @@ partition number and a counter, so a retried task makes the same rows.
 
 from __future__ import annotations
 
+import json
+import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,65 +34,99 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 _CLOSE_SPACES = re.compile(r"\s\s")
 
 
+class _Parts(dict):
+    """Ids of parts of a text, encoded at first use; two generations bound the size."""
+
+    def __init__(self, encode, limit: int):
+        super().__init__()
+        self.encode, self.limit, self.old = encode, limit, {}
+
+    def __missing__(self, part: str) -> bytes:
+        ids = self.old.get(part)
+        if ids is None:
+            ids = array("I", self.encode(part)).tobytes()
+        if len(part) <= 128:
+            self[part] = ids
+        return ids
+
+    def turn(self) -> None:
+        if len(self) > self.limit:
+            self.old = dict(self)
+            self.clear()
+
+
 class Encoder:
     """Ids of a tokenizer file, as little-endian uint32 bytes.
 
     For byte-level files whose pattern never joins across ``x y`` (a single space between other characters), the text is
     cut before such spaces and every part is encoded once and kept in a cache of bounded size; other texts are encoded
-    whole.  The ids are the same.
+    whole.  Where the file's merges are in the order of their ids, parts go through a rank-based encoder built from the
+    same file, which is faster; each process compares it with the file's own on ``CHECKED`` parts and drops it if one
+    differs.  The ids are the same.
     """
 
-    def __init__(self, path: str, cache: int = 400_000):
-        import os
+    CHECKED = 2000
 
+    def __init__(self, path: str, cache: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self._t, self._limit = Tokenizer.from_file(path), cache
-        self._new: dict[str, bytes] = {}
-        self._old: dict[str, bytes] = {}
-        self._splits = self._safe(self._t)
+        self._t = Tokenizer.from_file(path)
+        state = json.loads(self._t.to_str())
+        self._splits = self._safe(state)
+        self._fast, self._checks = self._ranked(state) if self._splits else None, 0
+        self._parts = _Parts(self._part, cache)
 
     @staticmethod
-    def _safe(t) -> bool:
-        import json
-
-        state = json.loads(t.to_str())
+    def _safe(state: dict) -> bool:
         pre = state.get("pre_tokenizer") or {}
         return state.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not state.get("truncation") and all(not re.search(r"\s", a["content"]) and not a["lstrip"] and not a["rstrip"] for a in state.get("added_tokens", []))
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, "<u4").tobytes() for e in self._t.encode_batch_fast(texts, add_special_tokens=False)]
+    @staticmethod
+    def _ranked(state: dict):
+        """The encoder by ranks, or None if the file isn't of that kind."""
+        model = state["model"]
+        if model.get("type") != "BPE" or any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")):
+            return None
+        vocab = model["vocab"]
+        merged = [vocab.get("".join(m.split(" ") if isinstance(m, str) else m)) for m in model["merges"]]
+        if None in merged or any(x >= y for x, y in zip(merged, merged[1:])):
+            return None
+        # The public byte-to-character table of byte-level vocabularies: printable bytes stand for themselves.
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        chars = {chr(b): b for b in plain} | {chr(256 + n): b for n, b in enumerate(b for b in range(256) if b not in set(plain))}
+        added = [a["content"] for a in state.get("added_tokens", [])]
+        try:
+            import public_tokenizers
+            import tiktoken
+
+            ranks = {bytes(chars[c] for c in token): i for token, i in vocab.items() if token not in added}
+            core = tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        except (ImportError, KeyError, ValueError):
+            return None
+        pattern = re.compile("|".join(map(re.escape, added))) if added else None
+        return core.encode_ordinary, pattern
+
+    def _part(self, text: str) -> list[int]:
+        if self._fast is None or self._fast[1] and self._fast[1].search(text):
+            return self._t.encode(text, add_special_tokens=False).ids
+        ids = self._fast[0](text)
+        if self._checks < self.CHECKED:
+            self._checks += 1
+            own = self._t.encode(text, add_special_tokens=False).ids
+            if own != ids:
+                self._fast = None
+                return own
+        return ids
 
     def batch(self, texts: list[str]) -> list[bytes]:
-        parts: list[list[str] | None] = []
-        wanted: dict[str, None] = {}
-        new, old = self._new, self._old
+        out, get = [], self._parts.__getitem__
         for text in texts:
             if not self._splits or "\0" in text or _CLOSE_SPACES.search(text):
-                parts.append(None)
-                continue
-            own = text.replace(" ", "\0 ").split("\0")
-            parts.append(own)
-            for p in own:
-                if p not in new:
-                    if (got := old.get(p)) is not None:
-                        new[p] = got
-                    else:
-                        wanted[p] = None
-        if wanted:
-            missing = list(wanted)
-            new.update(zip(missing, self._encode(missing)))
-        get = new.__getitem__
-        out = [b"" if p is None else b"".join(map(get, p)) for p in parts]
-        whole = [k for k, p in enumerate(parts) if p is None]
-        for k, ids in zip(whole, self._encode([texts[k] for k in whole]) if whole else ()):
-            out[k] = ids
-        for p in wanted:
-            if len(p) > 128:
-                del new[p]
-        if len(new) > self._limit:
-            self._old, self._new = new, {}
+                out.append(array("I", self._t.encode(text, add_special_tokens=False).ids).tobytes())
+            else:
+                out.append(b"".join(map(get, text.replace(" ", "\0 ").split("\0"))))
+        self._parts.turn()
         return out
 
 
