@@ -135,7 +135,7 @@ ORACLE_SQL = {
     "extra_candidates": f"WITH {_RANKED} SELECT voxel, splat_id FROM ranked WHERE rank = 2",
     "fill_leftover": f"WITH {_KEPT} SELECT slot, splat_id, stage FROM kept",
     "nearest_rep_assign": f"WITH {_ASSIGNED} SELECT splat_id, slot FROM assigned",
-    "merge_weighted_mean": f"WITH {_ASSIGNED} SELECT slot, count(*) AS members, {_each('round((sum(weight*{c}::DOUBLE)/sum(weight))::FLOAT::DOUBLE, 2) AS {c}')}, round((sum(weight*opacity::DOUBLE)/sum(weight))::FLOAT::DOUBLE, 4) AS opacity, {', '.join(f'round((sum(weight*{f}::DOUBLE)/sum(weight))::FLOAT::DOUBLE, 4) AS sh{k}' for k, f in enumerate(_FDC))} FROM assigned GROUP BY slot",
+    "merge_weighted_mean": f"WITH {_ASSIGNED} SELECT slot, count(*) AS members, {_each('round((sum(weight*{c}::DOUBLE)/sum(weight))::FLOAT::DOUBLE, 2)+0.0 AS {c}')}, round((sum(weight*opacity::DOUBLE)/sum(weight))::FLOAT::DOUBLE, 4) AS opacity, {', '.join(f'round((sum(weight*{f}::DOUBLE)/sum(weight))::FLOAT::DOUBLE, 4)+0.0 AS sh{k}' for k, f in enumerate(_FDC))} FROM assigned GROUP BY slot",
     "merge_covariance": f"WITH {_MEANS}, c AS (SELECT slot, {'+'.join(f'greatest(sum(weight*({_COV[k]}+({c}::DOUBLE-m{c}::DOUBLE)*({c}::DOUBLE-m{c}::DOUBLE)))/any_value(w), 1e-20)' for k, c in ((0, 'x'), (3, 'y'), (5, 'z')))} AS tr FROM assigned JOIN means USING (slot) WHERE slot < 50 GROUP BY slot) SELECT slot, round(tr/greatest(tr, 1.0), 3) AS scaled_trace, round(log10(tr), 3) AS log_trace FROM c",
     "own_error_p95": f"WITH {_ASSIGNED}, e AS (SELECT {_DIST}+t.radius::DOUBLE+k.radius::DOUBLE AS e FROM assigned t JOIN kept k USING (slot)) SELECT 0 AS node, round(quantile_cont(e, 0.95), 4) AS own_error FROM e",
     "handoff_union": f"WITH {_ROUTED} SELECT splat_id, path[1:1] AS parent, (row_number() OVER (PARTITION BY path[1:1] ORDER BY path, splat_id)-1)::INT AS row FROM l3 WHERE length(path) >= 2",

@@ -271,7 +271,7 @@ def nearest_rep_assign(spark, sf_dir):
 
 def merge_weighted_mean(spark, sf_dir):
     m = lod.merged(_assigned(spark, sf_dir), 3)
-    return m.select("slot", "members", *[F.round(C.num(c), 2).alias(c) for c in "xyz"], F.round(C.num("opacity"), 4).alias("opacity"), *[F.round(C.num(F.col("sh")[k]), 4).alias(f"sh{k}") for k in range(3)])
+    return m.select("slot", "members", *[(F.round(C.num(c), 2) + 0.0).alias(c) for c in "xyz"], F.round(C.num("opacity"), 4).alias("opacity"), *[(F.round(C.num(F.col("sh")[k]), 4) + 0.0).alias(f"sh{k}") for k in range(3)])
 
 
 def merge_covariance(spark, sf_dir):
