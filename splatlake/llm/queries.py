@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .oracles import ORACLE_SQL  # noqa: F401
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -60,13 +62,14 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import jaccard
 
-    return jaccard.join(_table(spark, sf_dir, "documents"))
+    return jaccard.join(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import ngram_lm
 
-    return ngram_lm.score(_table(spark, sf_dir, "documents"))
+    found = ngram_lm.score(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", F.round("log_prob", 3).alias("log_prob"), F.round("score", 6).alias("score"), "n_backoff")
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,13 +81,14 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import urls
 
-    return urls.judge(_table(spark, sf_dir, "pages"))
+    return urls.judge(_table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import decontam
 
-    return decontam.find_contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    found = decontam.find_contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
 QUERIES = {f.__name__: f for f in (op1_language_id, op2_secret_scan, op3_substring_dedup, op4_toxicity, op5_quality_rules, op6_jaccard_join, op7_lm_scoring, op8_packing, op9_url_filter, op10_decontamination)}

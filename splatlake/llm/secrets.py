@@ -97,7 +97,8 @@ def scan(raw: bytes) -> list[tuple[int, int, int]]:
     found += [(m.start(), 2, m.end()) for m in HEX.finditer(raw)]
     for m in CANDIDATE.finditer(raw):
         text = m[0]
-        if text.isalpha() and (text.islower() or text[1:].islower()) or any(p.fullmatch(text) for p in ALLOWED) or ALLOWED_BEFORE.search(raw, max(0, m.start() - 200), m.start()):
+        path = m.start() + len(text) - len(text.lstrip(b"/"))
+        if text.isalpha() and (text.islower() or text[1:].islower()) or any(p.fullmatch(text) for p in ALLOWED) or ALLOWED_BEFORE.search(raw, max(0, path - 200), path):
             continue
         found += [(m.start() + a, 3, m.start() + b) for a, b in hot_windows(text)]
     return sorted(found)
