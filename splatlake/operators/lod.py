@@ -53,7 +53,7 @@ def fit_grid(rows: DataFrame, tiles: list[dict]) -> tuple[DataFrame, list[dict]]
         out = []
         for t in some:
             size = [e / d for e, d in zip(t["ext"], t["dims"])]
-            out.append((t["node"], *t["low"], *t["ext"], *t["dims"], max(math.sqrt(sum(v * v for v in size)), 1e-12), t["target"]))
+            out.append((t["node"], *map(float, t["low"]), *map(float, t["ext"]), *t["dims"], max(math.sqrt(sum(float(v) ** 2 for v in size)), 1e-12), t["target"]))
         return spark.createDataFrame(out, "node int, low_x double, low_y double, low_z double, ext_x double, ext_y double, ext_z double, d0 long, d1 long, d2 long, diag double, target long")
 
     open_tiles = tiles

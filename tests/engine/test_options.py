@@ -15,7 +15,7 @@ def test_targets_and_errors():
     assert geometric_error(8, 3, 0.5) == 1
     assert root_error(2.0, 10.0, 5, 3, TilingOptions(min_geometric_error=1.0)) == (8.0, "configured_min_geometric_error")
     assert root_error(2.0, 10.0, 5, 3, TilingOptions()) == (2.0, "estimated_root_simplify")
-    assert root_error(0.0, 10.0, 5, 3, TilingOptions())[0] == 1.25 and root_error(0.0, 10.0, 1, 0, TilingOptions())[0] == 1e-5
+    assert root_error(0.0, 10.0, 5, 3, TilingOptions())[0] == 1.25 and root_error(0.0, 10.0, 1, 0, TilingOptions())[0] == pytest.approx(1e-5)
 
 
 def test_apportion():
