@@ -53,7 +53,7 @@ def codewords(n: int, seed: int = 7) -> np.ndarray:
         return np.ones((n, 1))
     if n <= 5:
         width = (1 << (n - 1)) - 1
-        return np.array([[1 if k == 0 else (1 if (b + 1) >> (k - 1) & 1 else -1) * 1 for b in range(width)] for k in range(n)])
+        return np.array([[-1 if k and (b + 1) >> (k - 1) & 1 else 1 for b in range(width)] for k in range(n)])
     rng, width, best, most = np.random.default_rng(seed), int(np.ceil(10 * np.log2(n))), None, -1.0
     for _ in range(200):
         code = np.where(rng.random((n, width)) < 0.5, -1, 1)
