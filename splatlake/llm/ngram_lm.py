@@ -55,6 +55,32 @@ def _words(column: pa.Array) -> Words:
     return Words(*strings(column), NON_SPACE, LOWER)
 
 
+def packed(keys: np.ndarray) -> bytes:
+    """Ascending keys as differences, in as few bytes each as the largest one needs."""
+    step = np.diff(keys, prepend=np.uint64(0))
+    width = max(1, (int(step[1:].max()).bit_length() + 7) // 8) if len(step) > 1 else 1
+    return keys[:1].tobytes() + bytes([width]) + step[1:].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    width, rest = data[8], np.frombuffer(data, np.uint8, offset=9)
+    step = np.zeros((len(rest) // width + 1, 8), np.uint8)
+    step[0] = np.frombuffer(data, np.uint8, 8)
+    step[1:, :width] = rest.reshape(-1, width)
+    return np.cumsum(step.view("<u8").ravel(), dtype=np.uint64)
+
+
+def small(counts: np.ndarray) -> bytes:
+    """Counts as one byte each; those of 255 and more follow in eight."""
+    return np.minimum(counts, 255).astype(np.uint8).tobytes() + counts[counts >= 255].astype("<i8").tobytes()
+
+
+def large(data: bytes, n: int) -> np.ndarray:
+    out = np.frombuffer(data, np.uint8, n).astype(np.int64)
+    out[out == 255] = np.frombuffer(data, "<i8", offset=n)
+    return out
+
+
 def requests(source: DataFrame, order: int, bits: int, chunk_bytes: int) -> DataFrame:
     def each(batches):
         for chunk, _, text in _chunks(batches, chunk_bytes):
@@ -62,16 +88,15 @@ def requests(source: DataFrame, order: int, bits: int, chunk_bytes: int) -> Data
             keys, counts = np.unique(np.concatenate([k for k, _ in _keys(w, order)]), return_counts=True)
             edge = np.searchsorted((keys >> np.uint64(64 - bits)).astype(np.int64), np.arange((1 << bits) + 1))
             rows = [(r, int(a), int(b)) for r, (a, b) in enumerate(zip(edge, edge[1:])) if b > a]
-            counts = counts.astype(np.uint32)
-            yield pa.RecordBatch.from_arrays([pa.array([r for r, _, _ in rows], pa.int32()), pa.array([chunk] * len(rows), pa.int64()), pa.array([keys[a:b].tobytes() for _, a, b in rows], pa.binary()), pa.array([counts[a:b].tobytes() for _, a, b in rows], pa.binary()), pa.array([int(w.count.sum()) if k == 0 else 0 for k in range(len(rows))], pa.int64())], names=["range", "chunk", "keys", "counts", "words"])
+            yield pa.RecordBatch.from_arrays([pa.array([r for r, _, _ in rows], pa.int32()), pa.array([chunk] * len(rows), pa.int64()), pa.array([packed(keys[a:b]) for _, a, b in rows], pa.binary()), pa.array([small(counts[a:b]) for _, a, b in rows], pa.binary()), pa.array([int(w.count.sum()) if k == 0 else 0 for k in range(len(rows))], pa.int64())], names=["range", "chunk", "keys", "counts", "words"])
 
     return source.mapInArrow(each, "range int, chunk long, keys binary, counts binary, words long")
 
 
 def _answer(table: pa.Table) -> pa.Table:
-    keys = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("keys")]
-    counts = np.concatenate([np.frombuffer(x.as_buffer(), np.uint32) for x in table.column("counts")]).astype(np.int64)
+    keys = [unpacked(x.as_py()) for x in table.column("keys")]
     size = [len(k) for k in keys]
+    counts = np.concatenate([large(x.as_py(), n) for x, n in zip(table.column("counts"), size)])
     keys = np.concatenate(keys)
     order = np.argsort(keys)
     ordered = keys[order]
@@ -80,24 +105,24 @@ def _answer(table: pa.Table) -> pa.Table:
     back = np.empty(len(keys), np.int64)
     back[order] = np.repeat(total, np.diff(np.append(start, len(keys))))
     edge = np.concatenate([[0], np.cumsum(size)])
-    return pa.Table.from_arrays([table.column("range"), table.column("chunk"), pa.chunked_array([pa.array([back[a:b].tobytes() for a, b in zip(edge, edge[1:])], pa.binary())]), table.column("words")], names=["range", "chunk", "totals", "words"])
+    return pa.Table.from_arrays([table.column("range"), table.column("chunk"), pa.chunked_array([pa.array([small(back[a:b]) for a, b in zip(edge, edge[1:])], pa.binary())]), pa.chunked_array([pa.array(size, pa.int64())]), table.column("words")], names=["range", "chunk", "totals", "n", "words"])
 
 
-def positions(keys: list[tuple[np.ndarray, np.ndarray]], count_of, n_words: int, corpus_words: int, least: int, factor: float) -> tuple[np.ndarray, np.ndarray]:
-    """Logarithm of the stupid-backoff score at each word, and whether it backed off."""
-    found = [np.zeros(n_words, np.int64) for _ in keys]
-    for k, (g, at) in enumerate(keys):
-        found[k][at] = count_of(g)
+def positions(ends: list[np.ndarray], counts: list[np.ndarray], n_words: int, corpus_words: int, least: int, factor: float) -> tuple[np.ndarray, np.ndarray]:
+    """Logarithm of the stupid-backoff score at each word, and whether it backed off; for each order, the words at which
+    an n-gram ends and its count."""
+    found = [np.zeros(n_words, np.int64) for _ in ends]
     available = np.zeros(n_words, np.int64)
-    for k, (_, at) in enumerate(keys):
+    for k, (at, n) in enumerate(zip(ends, counts)):
+        found[k][at] = n
         available[at] = k + 1
     out = np.full(n_words, np.nan)
-    for k in range(len(keys) - 1, -1, -1):
+    for k in range(len(ends) - 1, -1, -1):
         hit = np.isnan(out) & (available > k) & ((found[k] >= least) if k else True)
         # The context is the n-gram of one order less that ends a word earlier.
         below = np.concatenate([[1], found[k - 1][:-1]]) if k else np.full(n_words, corpus_words)
         out[hit] = np.log(found[k][hit] / below[hit]) + (available[hit] - k - 1) * np.log(factor)
-        if k == len(keys) - 1:
+        if k == len(ends) - 1:
             full = hit
     return out, ~full
 
@@ -107,10 +132,10 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
     spark = docs.sparkSession
     work = Workspace(spark, "ngrams")
     source = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    # The number of hash ranges follows the text: about 1.3 entries of 9 bytes a byte of text and order, over six.
+    # The number of hash ranges follows the text: about an entry of 8 bytes for six bytes of text and each order.
     size = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = max(5, int(np.ceil(np.log2(max(1, size * order * 1.5 / range_bytes)))))
-    answers = work.keep(requests(source, order, bits, chunk_bytes).groupBy("range").applyInArrow(_answer, "range int, chunk long, totals binary, words long"))
+    answers = work.keep(requests(source, order, bits, chunk_bytes).groupBy("range").applyInArrow(_answer, "range int, chunk long, totals binary, n long, words long"))
     corpus_words = answers.agg(F.sum("words")).first()[0] or 0
 
     def texts(batches):
@@ -127,12 +152,13 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
             table = pa.ipc.open_stream(packed.as_buffer()).read_all().combine_chunks()
             w = _words(table.column("text"))
             keys = _keys(w, order)
-            unique = np.unique(np.concatenate([k for k, _ in keys]))
+            unique, place = np.unique(np.concatenate([k for k, _ in keys]), return_inverse=True)
             by = right.sort_by("range")
-            totals = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(x.as_buffer(), np.int64) for x in by.column("totals"))])
+            totals = np.concatenate([np.zeros(0, np.int64), *(large(x.as_py(), n) for x, n in zip(by.column("totals"), by.column("n").to_pylist()))])
             if len(totals) != len(unique):
                 raise RuntimeError("a chunk's texts differ between two reads of the documents")
-            logs, backed = positions(keys, lambda g: totals[np.searchsorted(unique, g)] if len(g) else 0, int(w.count.sum()), corpus_words, least, factor)
+            found = np.split(totals[place], np.cumsum([len(k) for k, _ in keys])[:-1])
+            logs, backed = positions([at for _, at in keys], found, int(w.count.sum()), corpus_words, least, factor)
             lp = np.array([logs[a:b].sum() for a, b in zip(w.first, w.first[1:])])
             turned = np.concatenate([[0], np.cumsum(backed)])
             n = w.count
