@@ -9,9 +9,11 @@ is made in column blocks (ranges of shingle hashes) and only over the entries th
    pairs of compatible sizes; pairs whose count stays below a bound that follows from the sizes are discarded; the rest
    is verified on the whole sets.
 3. Shingles that few nodes share are multiplied out at once.  For the others, each node is first paired with one centre
-   of like size; what these links connect needs no further pair.  Then the remaining pairs, those between different
-   components, are multiplied in sub-blocks of bounded size.  So no group is ever expanded into all its pairs unless its
-   members are truly apart, and no link between components is lost.
+   of like size; what these links connect needs no further pair.  Then groups that still hold several components are
+   multiplied out in pairs of blocks of about ``SUB_BLOCK`` like nodes: a row-by-row sparse product of their prefix
+   entries names the members that may be linked, and one of these members' whole sets returns one link for each two
+   components it finds linked.  So no pair is ever written for what is linked
+   already or not at all, and no link between components is lost.
 4. Links join to components by iterated least labels over written tables.
 
 The order needs frequencies only to be fast: shingles that are frequent within a task's batch are counted, and up to
@@ -33,7 +35,8 @@ from .kernels import each_run, map_rows, mix, shingles
 from .storage import Workspace
 
 WORDS, PERCENT = 5, 80
-MAX_HOT, BATCH_HOT, SMALL, SUB_BLOCK, SALT_OVER = 200_000, 3, 8, 1024, 1_000_000
+MAX_HOT, BATCH_HOT, SMALL, SUB_BLOCK, SALT_OVER, CENTRES = 200_000, 3, 8, 512, 1_000_000, 2
+SIZE_STEP = 0.05  # of the logarithm of the set's size, within a block of like nodes
 _SIG = np.uint64(0x94D049BB133111EB)
 
 
@@ -160,12 +163,13 @@ def _ordered(a, b, na, nb):
     return np.where(flip, b, a), np.where(flip, a, b), np.where(flip, nb, na), np.where(flip, na, nb)
 
 
-_PRODUCT = "kind int, a long, b long, na int, nb int, c_small int, c_star int, h long"
+#: kind 0: pairs of small groups.  1: a node (a) of a large group, with its shingle (h).  2: a node and a centre (b).
+_PRODUCT = "kind int, a long, b long, na int, nb int, c int, h long"
 
 
-def _batch(kind, a, b, na, nb, c_small, c_star, h):
+def _batch(kind, a, b, na, nb, c, h):
     n = len(a)
-    cols = [(np.full(n, kind), np.int32), (a, np.int64), (b, np.int64), (na, np.int32), (nb, np.int32), (c_small, np.int32), (c_star, np.int32), (h, np.int64)]
+    cols = [(np.full(n, kind), np.int32), (a, np.int64), (b, np.int64), (na, np.int32), (nb, np.int32), (c, np.int32), (h, np.int64)]
     return pa.Table.from_arrays([pa.array(np.asarray(x, t)) for x, t in cols], names=[c.split()[0] for c in _PRODUCT.split(", ")])
 
 
@@ -183,38 +187,39 @@ def _product(percent: int, hot):
         size = np.diff(np.append(start, len(h)))
         apart = np.isin(h[start], salted) if len(salted) else np.zeros(len(start), bool)
         pairs: list[tuple] = []
+        stars: list[tuple] = []
 
-        def add(x, y, star):
+        def add(x, y, to):
             ok = (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y])) & (x != y)
             x, y = x[ok], y[ok]
-            a, b, na, nb = _ordered(node[x], node[y], n[x], n[y])
-            pairs.append((a, b, na, nb, np.full(len(a), not star, np.int32), np.full(len(a), star, np.int32)))
+            made = (node[x], node[y], n[x], n[y])
+            to.append((*(_ordered(*made) if to is pairs else made), np.ones(len(x), np.int32)))
 
         for s in range(2, SMALL + 1):
             at = start[(size == s) & ~apart]
             for i in range(s if len(at) else 0):
                 for j in range(i + 1, s):
-                    add(at + i, at + j, False)
+                    add(at + i, at + j, pairs)
         big = np.flatnonzero((size > SMALL) | apart)
         for g in big.tolist():
             a, e = int(start[g]), int(start[g] + size[g])
             while a < e:
                 z = a + int(np.searchsorted(n[a:e], 100 * int(n[a]) // percent, "right"))
-                add(np.full(z - a, (a + z) // 2), np.arange(a, z), True)
+                # The least node is the same one in most groups of a cluster.
+                add(np.arange(a, z), np.full(z - a, a + int(np.argmin(node[a:z]))), stars)
                 a = z
-        made = _summed(*(np.concatenate(x) for x in zip(*pairs))) if pairs else [np.zeros(0, np.int64)] * 6
+        made, star = (_summed(*(np.concatenate(x) for x in zip(*p))) if p else [np.zeros(0, np.int64)] * 5 for p in (pairs, stars))
         inside = np.zeros(len(h), bool)
         for g in big.tolist():
             inside[start[g] : start[g] + size[g]] = True
         zero = np.zeros(int(inside.sum()), np.int32)
-        return pa.concat_tables([_batch(0, *made, np.zeros(len(made[0]), np.int64)), _batch(1, node[inside], zero, n[inside], zero, zero, zero, h[inside].view(np.int64))])
+        return pa.concat_tables([_batch(0, *made, np.zeros(len(made[0]), np.int64)), _batch(2, *star, np.zeros(len(star[0]), np.int64)), _batch(1, node[inside], zero, n[inside], zero, zero, h[inside].view(np.int64))])
 
     return block
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, work: Workspace, text_col: str, id_col: str, n: int, percent: int, broadcast_rows: int) -> DataFrame:
-    """pairs (a, b) with the overlap of the whole sets, those at the threshold marked ``linked``."""
-    wanted = pairs.select(F.col("a").alias("sig")).unionByName(pairs.select(F.col("b").alias("sig"))).distinct()
+def _sets(wanted: DataFrame, docs: DataFrame, nodes: DataFrame, work: Workspace, text_col: str, id_col: str, n: int, broadcast_rows: int) -> DataFrame:
+    """sig, set: the whole sets of the wanted nodes, each made from one of its documents."""
     ids = work.keep(nodes.join(wanted, "sig").groupBy("sig").agg(F.min("doc_id").alias("__id")).select("__id").distinct())
     small = ids.count() <= broadcast_rows  # 8 bytes a row
     source = docs.select(F.col(f"`{id_col}`").cast("long").alias("__id"), F.col(f"`{text_col}`").cast("string").alias("__t")).join(F.broadcast(ids) if small else ids, "__id", "left_semi")
@@ -227,7 +232,11 @@ def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, work: Workspa
             out += [x.tobytes() for x in own]
         return {"sig": pa.array(np.concatenate(sig) if sig else np.zeros(0, np.int64)), "set": pa.array(out, pa.binary())}
 
-    found = work.keep(map_rows(source, [], "__t", "sig long, set binary", made).dropDuplicates(["sig"]))
+    return work.keep(map_rows(source, [], "__t", "sig long, set binary", made).dropDuplicates(["sig"]))
+
+
+def _verified(pairs: DataFrame, found: DataFrame, work: Workspace, percent: int) -> DataFrame:
+    """The pairs (a, b) whose whole sets reach the threshold."""
     left = found.select(F.col("sig").alias("a"), F.col("set").alias("set_a"))
     right = found.select(F.col("sig").alias("b"), F.col("set").alias("set_b"))
 
@@ -241,38 +250,107 @@ def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, work: Workspa
                 at = np.minimum(np.searchsorted(y, x), len(y) - 1)
                 both = int((y[at] == x).sum())
                 out.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.bool_())], names=["a", "b", "linked"])
+            ok = pa.array(out, pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(ok), b.column(1).filter(ok)], names=["a", "b"])
+
+    return work.keep(pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b").mapInArrow(overlap, "a long, b long"))
+
+
+def _rows_of_product(own: list[np.ndarray], side: np.ndarray):
+    """Row by row, the product of the left block (side 0) with the right one (side 1, or the left one itself): for each
+    left member its place, the right members' places and how many entries it shares with each."""
+    size = np.array([len(x) for x in own])
+    left = np.flatnonzero(side == 0)
+    right = np.flatnonzero(side == 1) if (side == 1).any() else left
+    entry = np.concatenate([own[k] for k in right])
+    holder = np.repeat(np.arange(len(right)), size[right])
+    order = np.argsort(entry, kind="stable")
+    entry, holder = entry[order], holder[order]
+    for k in left:
+        lo, hi = np.searchsorted(entry, own[k], "left"), np.searchsorted(entry, own[k], "right")
+        n = hi - lo
+        rows = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - lo, n)
+        yield k, right, np.bincount(holder[rows], minlength=len(right))
+
+
+def _candidates(percent: int):
+    """Of a pair of blocks, the members that may be linked: by the entries shared within the prefixes."""
 
-    return work.keep(pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b").mapInArrow(overlap, "a long, b long, linked boolean"))
+    def block(table: pa.Table) -> pa.Table:
+        side, node, label, n, extra = (table.column(c).to_numpy() for c in ("side", "node", "label", "n", "extra"))
+        own = [np.asarray(x.values) for x in table.column("hs")]
+        use = np.zeros(len(side), bool)
+        for k, right, both in _rows_of_product(own, side):
+            # Shingles of small groups were counted by pair; a pair has at most ``extra`` of either side of them.
+            least = needed(n[k], n[right], percent) + (-percent * np.maximum(n[k], n[right]) // 100) + 1 - np.minimum(extra[k], extra[right])
+            ok = (both >= np.maximum(1, least)) & (label[right] != label[k]) & (100 * np.minimum(n[k], n[right]) >= percent * np.maximum(n[k], n[right]))
+            use[right[ok]] = True
+            use[k] |= ok.any()
+        return table.filter(pa.array(use)).select(["block", "other", "side", "node", "label"])
+
+    return block
 
 
 def _between(percent: int):
-    """Pairs of nodes of different components that share a shingle, in sub-blocks of bounded size."""
+    """Exact overlaps of two blocks: one link for each two components that are linked here."""
 
     def block(table: pa.Table) -> pa.Table:
-        h, i, j, side, node, label, n = (table.column(c).to_numpy() for c in ("h", "i", "j", "side", "node", "label", "n"))
-        order = np.lexsort((side, j, i, h))
-        h, i, j, side, node, label, n = (x[order] for x in (h, i, j, side, node, label, n))
-        edge = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]), [True]])) if len(h) else np.zeros(1, int)
-        pairs = []
-        for a, b in zip(edge, edge[1:]):
-            m = a + int((side[a:b] == 0).sum())
-            x, y = (np.arange(a, m), np.arange(m, b)) if i[a] != j[a] else (np.arange(a, b), np.arange(a, b))
-            ok = (label[x][:, None] != label[y][None]) & (100 * np.minimum(n[x][:, None], n[y][None]) >= percent * np.maximum(n[x][:, None], n[y][None]))
-            if i[a] == j[a]:
-                ok &= x[:, None] < y[None]
-            p, q = np.nonzero(ok)
-            p, q = x[p], y[q]
-            pairs.append((*_ordered(node[p], node[q], n[p], n[q]), np.ones(len(p), np.int32)))
-        made = _summed(*(np.concatenate(x) for x in zip(*pairs))) if pairs else [np.zeros(0)] * 5
-        return pa.Table.from_arrays([pa.array(np.asarray(x, t)) for x, t in zip(made, (np.int64, np.int64, np.int32, np.int32, np.int32))], names=["a", "b", "na", "nb", "c"])
+        side, node, label = (table.column(c).to_numpy() for c in ("side", "node", "label"))
+        own = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("set")]
+        size = np.array([len(x) for x in own])
+        first: dict[tuple[int, int], tuple[int, int]] = {}
+        for k, right, both in _rows_of_product(own, side) if (side == 0).any() else ():
+            ok = (100 * both >= percent * (size[k] + size[right] - both)) & (label[right] != label[k])
+            for j in right[ok]:
+                x, y = int(label[k]), int(label[j])
+                first.setdefault((min(x, y), max(x, y)), (min(int(node[k]), int(node[j])), max(int(node[k]), int(node[j]))))
+        a, b = zip(*first.values()) if first else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return block
 
 
+def _apart(product: DataFrame, labels: DataFrame, unproven: DataFrame, work: Workspace, percent: int) -> DataFrame:
+    """block, other, side, node, label: members of pairs of blocks that may be linked across components.
+
+    Nodes are those of the large groups that still hold several components, in blocks of like nodes; pairs of blocks are
+    those that share a shingle across components.  unproven: pairs of small groups that were not verified, with counts.
+    """
+    at = product.filter("kind = 1").select(F.col("a").alias("node"), F.col("na").alias("n"), "h").join(labels, "node", "left").select("h", "node", "n", F.coalesce("label", "node").alias("label"))
+    mixed = at.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("h")
+    at = work.keep(at.join(mixed, "h").distinct())
+    extra = unproven.select(F.col("a").alias("node"), "c").unionByName(unproven.select(F.col("b").alias("node"), "c")).groupBy("node").agg(F.max("c").alias("extra"))
+    # A node's shingles here are of its prefix, so the list is no longer than its own text.
+    node = at.groupBy("node").agg(F.min("h").alias("key"), F.first("label").alias("label"), F.first("n").alias("n"), F.collect_list("h").alias("hs")).join(extra, "node", "left")
+    # Like nodes mostly have the same least shingle and nearly the same size; so each group meets few blocks, and sizes of
+    # blocks bound what their members must share.
+    node = work.keep(node.withColumn("size", F.floor(F.ln("n") / SIZE_STEP)))
+    parts = node.groupBy("key", "size").agg(F.ceil(F.count(F.lit(1)) / SUB_BLOCK).alias("parts"))
+    node = node.join(parts, ["key", "size"]).select("node", "label", F.col("n").cast("long").alias("n"), F.coalesce("extra", F.lit(0)).cast("long").alias("extra"), "hs", F.xxhash64("key", "size", F.pmod(F.xxhash64("node"), F.col("parts"))).alias("block"))
+    node = work.keep(node)
+    sizes = node.groupBy("block").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("extra").alias("extra"))
+    met = node.select("block", "label", F.explode("hs").alias("h")).groupBy("h", "block").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).join(sizes, "block")
+    met = work.keep(met)
+    other = met.select("h", *[F.col(c).alias(f"{c}2") for c in ("block", "lo", "hi", "least", "most", "extra")])
+    like = (100 * F.least("most", "most2") >= percent * F.greatest("least", "least2")) & (F.col("block") <= F.col("block2"))
+    across = (F.col("lo") != F.col("hi")) | (F.col("lo2") != F.col("hi2")) | (F.col("lo") != F.col("lo2"))
+    shared = met.join(other, "h").filter(like).groupBy("block", "block2", "least", "most", "extra", "least2", "most2", "extra2").agg(F.count(F.lit(1)).alias("shared"), F.max(across.cast("int")).alias("across"))
+    # needed(n, m) - ceil(p max) + 1 is at least this for any members of the two blocks.
+    lowest = percent / (100 + percent) * F.least("least", "least2") - (percent / 100 - percent / (100 + percent)) * F.greatest("most", "most2")
+    pairs = shared.filter((F.col("across") == 1) & (F.col("shared") + F.least("extra", "extra2") >= lowest - 1e-6))
+    pairs = work.keep(pairs.select("block", F.col("block2").alias("other")))
+    columns = ["block", "other", "side", "node", "label", "n", "extra", "hs"]
+    left = pairs.join(node, "block").withColumn("side", F.lit(0)).select(columns)
+    right = pairs.filter("block < other").join(node.withColumnRenamed("block", "other"), "other").withColumn("side", F.lit(1)).select(columns)
+    return work.keep(left.unionByName(right).groupBy("block", "other").applyInArrow(_candidates(percent), "block long, other long, side int, node long, label long"))
+
+
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT, block_entries: int = 1 << 20, broadcast_rows: int = 2_000_000) -> DataFrame:
-    """A row per document: doc_id, n_shingles, component_id, n_links (verified links of its set; connected pairs that a
-    component already implies are not all verified, so this is a lower bound)."""
+    """A row per document: doc_id, n_shingles, component_id, n_links.
+
+    n_links counts the verified links of the document's set.  What a component already implies is not verified again, so
+    it is a lower bound of its degree; it is 0 only for a set that is linked with no other one.
+    """
     spark = docs.sparkSession
     work = Workspace(spark, "jaccard")
     first = work.keep(_nodes(docs, id_col, text_col, words))
@@ -287,30 +365,25 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
     entries = _entries(docs, text_col, words, percent, hot, max(64, int(total) // block_entries))
     product = work.keep(entries.groupBy("block").applyInArrow(_product(percent, hot), _PRODUCT))
 
-    pairs = work.keep(product.filter("kind = 0").groupBy("a", "b", "na", "nb").agg(F.sum("c_small").alias("c_small"), F.sum("c_star").alias("c_star")))
+    pairs = work.keep(product.filter("kind = 0").groupBy("a", "b", "na", "nb").agg(F.sum("c").cast("int").alias("c")))
     bound = F.expr(f"ceil({percent}D * (na + nb) / {100 + percent} - 1e-9) - ceil({percent}D * greatest(na, nb) / 100 - 1e-9) + 1")
-    known = _verified(pairs.filter(F.col("c_small") + F.col("c_star") >= bound), docs, nodes, work, text_col, id_col, words, percent, broadcast_rows)
-    labels = components(known.filter("linked"), work, rounds=3)
-
-    apart = product.filter("kind = 1").select(F.col("a").alias("node"), F.col("na").alias("n"), "h").join(labels, "node", "left").select("h", "node", "n", F.coalesce("label", "node").alias("label"))
-    apart = work.keep(apart.distinct())
-    groups = apart.groupBy("h").agg(F.count(F.lit(1)).alias("m"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("h", F.ceil(F.col("m") / SUB_BLOCK).alias("parts"))
-    dealt = apart.join(groups, "h").withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")))
-    dealt = dealt.select("h", "node", "label", "n", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("other"))
-    dealt = dealt.select("h", "node", "label", "n", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"))
-    n_rows = work.keep(dealt)
-    buckets = max(64, n_rows.count() // 500_000)
-    between = n_rows.withColumn("bucket", F.pmod(F.xxhash64("h", "i", "j"), F.lit(buckets))).groupBy("bucket").applyInArrow(_between(percent), "a long, b long, na int, nb int, c int")
-    small = pairs.filter("c_small > 0").select("a", "b", "na", "nb", F.col("c_small").cast("int").alias("c"))
-    both = between.unionByName(small).groupBy("a", "b", "na", "nb").agg(F.sum("c").alias("c")).filter(F.col("c") >= bound)
-    both = both.join(known.select("a", "b"), ["a", "b"], "left_anti")
-    for side in "ab":
-        own = labels.select(F.col("node").alias(side), F.col("label").alias(f"l{side}"))
-        both = both.join(own, side, "left").withColumn(f"l{side}", F.coalesce(f"l{side}", side))
-    rest = work.keep(both.filter("la <> lb").select("a", "b"))
-    more = _verified(rest, docs, nodes, work, text_col, id_col, words, percent, broadcast_rows)
-
-    links = known.unionByName(more).filter("linked").select("a", "b")
+    # Each node's two centres that it shares most with, if that is much.
+    stars = product.filter("kind = 2").groupBy("a", "b").agg(F.sum("c").alias("c"), F.max("na").alias("n"))
+    # A quarter of the prefix at least; what is left out here only comes later, in the exact product of blocks.
+    stars = stars.filter(F.col("c") * 400 >= (100 - percent) * F.col("n"))
+    stars = stars.groupBy("a").agg(F.slice(F.sort_array(F.collect_list(F.struct("c", "b")), False), 1, CENTRES).alias("best")).select("a", F.explode("best.b").alias("b"))
+    stars = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    wanted = work.keep(pairs.filter(F.col("c") >= bound).select("a", "b").unionByName(stars).distinct())
+    ends = lambda p: p.select(F.col("a").alias("sig")).unionByName(p.select(F.col("b").alias("sig"))).distinct()
+    made = lambda some: _sets(some, docs, nodes, work, text_col, id_col, words, broadcast_rows)
+    known = _verified(wanted, made(ends(wanted)), work, percent)
+    labels = components(known, work, rounds=3)
+
+    members = _apart(product, labels, pairs.filter(F.col("c") < bound), work, percent)
+    held = made(members.select(F.col("node").alias("sig")).distinct()).withColumnRenamed("sig", "node")
+    more = work.keep(members.join(held, "node").groupBy("block", "other").applyInArrow(_between(percent), "a long, b long"))
+
+    links = known.unionByName(more).distinct()
     labels = components(links, work)
     degree = links.select(F.col("a").alias("sig")).unionByName(links.select(F.col("b").alias("sig"))).groupBy("sig").agg(F.count(F.lit(1)).alias("n_links"))
     # Only sets with copies or links need more than their own row.
