@@ -311,6 +311,38 @@ def test_passages(docs, rows, empty):
     assert passages.find(empty).count() == 0
 
 
+def test_passages_cover_every_verbatim_run(spark):
+    rng = random.Random(11)
+    bag = vocabulary(rng, 3000)
+
+    def text(n):
+        return [rng.choice(bag) for _ in range(n)]
+
+    stock, made = text(30), []
+    for _ in range(150):  # a stock line that many have
+        made.append(text(40) + stock + text(40))
+    for _ in range(20):  # pairs whose passage holds the stock line
+        passage = text(12) + stock + text(13)
+        made += [text(30) + passage + text(30), text(50) + passage + text(20)]
+    base = text(300)
+    for _ in range(40):  # edited variants
+        made.append([rng.choice(bag) if rng.random() < 0.015 else w for w in base])
+    passage = text(60)  # a shingle that occurs twice
+    passage[29:34] = passage[:5]
+    made += [text(20) + passage + text(20), text(35) + passage[:5] + text(10) + passage + text(9)]
+    texts = [" ".join(w) for w in made]
+    want = brute.repeated(list(enumerate(texts)))
+    assert sum(map(len, want.values())) > 10_000
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    for r in passages.find(table, block_windows=1000).collect():
+        spans = [tuple(map(int, s.split(":"))) for s in r.spans.split(",") if s]
+        assert want[r.doc_id] <= {p for a, b, _ in spans for p in range(a, b)}, r.doc_id
+        for a, b, other in spans:
+            own = {tuple(made[r.doc_id][k : k + 5]) for k in range(a, b - 4)}
+            there = {tuple(made[other][k : k + 5]) for k in range(len(made[other]) - 4)}
+            assert other != r.doc_id and len(own & there) >= 0.8 * len(own)
+
+
 def test_compact_windows():
     rng = np.random.default_rng(7)
     for n, t in ((1, 1), (5, 3), (60, 5), (200, 17)):
