@@ -343,6 +343,28 @@ def test_passages_cover_every_verbatim_run(spark):
             assert other != r.doc_id and len(own & there) >= 0.8 * len(own)
 
 
+def test_verify_follows_every_diagonal():
+    rng = np.random.default_rng(5)
+    a = rng.integers(1, 1 << 60, 56).astype(np.uint64)
+    a[29] = a[0]
+    other = rng.integers(1, 1 << 60, 20).astype(np.uint64)
+    assert passages.verify(a, a.copy(), 46) == [(0, 55, 0, 55)]
+    assert passages.verify(a, np.concatenate([a[28:31], other, a]), 46) == [(0, 55, 23, 78)]
+    for n in (3, 40):
+        x, y = rng.integers(0, n, 90).astype(np.uint64), rng.integers(0, n, 70).astype(np.uint64)
+        y[5:40] = x[30:65]
+        want = set()
+        for i in range(90):
+            for j in range(70):
+                if x[i] == y[j] and (not i or not j or x[i - 1] != y[j - 1]):
+                    k = 0
+                    while i + k < 90 and j + k < 70 and x[i + k] == y[j + k]:
+                        k += 1
+                    want.add((i, j, k))
+        for most in (1, 50, 1 << 20):
+            assert set(zip(*(v.tolist() for v in passages.diagonals(x, y, most)))) == want
+
+
 def test_compact_windows():
     rng = np.random.default_rng(7)
     for n, t in ((1, 1), (5, 3), (60, 5), (200, 17)):
