@@ -365,6 +365,29 @@ def test_verify_follows_every_diagonal():
             assert set(zip(*(v.tolist() for v in passages.diagonals(x, y, most)))) == want
 
 
+def test_passages_near_the_limit(spark):
+    rng = random.Random(12)
+    bag = vocabulary(rng, 5000)
+
+    def text(n):
+        return [rng.choice(bag) for _ in range(n)]
+
+    made = []
+    for k in range(120):
+        if k % 3:  # three single words changed: 131 of 161 shingles
+            passage = text(150)
+            near = list(passage)
+            for at in (38, 75, 112):
+                near[at] = "changed"
+        else:  # ten words put in: 82 of 100 shingles
+            passage = text(90)
+            near = passage[:45] + text(10) + passage[45:]
+        made += [text(20) + passage + text(30), text(40) + near + text(10)]
+    table = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(made)], "doc_id long, text string")
+    got = {r.doc_id: r for r in passages.find(table).collect()}
+    assert [i for i in got if got[i].dup_words < (140 if i // 2 % 3 else 88)] == []
+
+
 def test_compact_windows():
     rng = np.random.default_rng(7)
     for n, t in ((1, 1), (5, 3), (60, 5), (200, 17)):
