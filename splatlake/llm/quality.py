@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernels import NON_SPACE, Words, each_run, grams, map_documents, map_rows, mix, restored, spans_hash, sums_by
+from .kernels import NON_SPACE, SAME, Words, each_run, grams, map_documents, map_rows, mix, restored, spans_hash, sums_by
 
 SAMPLE_DOCS, SAMPLE_LINES, CONTENT_SHARE = 3000, 400, 0.5
 _SYMBOL, _UPPER, _DIGIT, _LOUD, _LEAD = (np.zeros(256, bool) for _ in range(5))
@@ -172,7 +172,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     def fn(column: pa.Array) -> dict[str, pa.Array]:
         made = []
-        for _, _, w in each_run(column):
+        for _, _, w in each_run(column, fold=SAME):
             lines = Lines(w)
             made += [lines.features[a:b].ravel() if 0 < b - a <= sample_lines else np.zeros(0) for a, b in zip(lines.first, lines.first[1:])]
         return {"__x": pa.array(made, pa.list_(pa.float64()))}
@@ -197,7 +197,7 @@ def _judge(sent, min_words: int, max_repeat_percent: int, content_share: float):
 
     def fn(column: pa.Array) -> dict[str, pa.Array]:
         field, out = sent.value, {n: [] for n in (*names, "content_share", "base_failed", "kept")}
-        for _, _, w in each_run(column):
+        for _, _, w in each_run(column, fold=SAME):
             lines = Lines(w)
             for n in names[:5]:
                 out[n].append(getattr(lines, n))

@@ -388,6 +388,15 @@ def test_passages_near_the_limit(spark):
     assert [i for i in got if got[i].dup_words < (140 if i // 2 % 3 else 88)] == []
 
 
+def test_quality_keeps_case(spark):
+    words = " ".join(f"w{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(60))
+    texts = [f"{words.upper()}\n{words}", f"{words}\n{words}", "A Title In Case\na title in case a title in case"]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in quality.judge(table, quality.Field()).collect()}
+    assert [(got[i].n_words, got[i].word_chars, got[i].n_symbols, got[i].n_dup_lines, got[i].n_repeat_words) for i in range(3)] == [brute.quality(t) for t in texts]
+    assert not got[0].base_failed and got[1].base_failed
+
+
 def test_compact_windows():
     rng = np.random.default_rng(7)
     for n, t in ((1, 1), (5, 3), (60, 5), (200, 17)):
