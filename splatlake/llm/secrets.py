@@ -31,15 +31,18 @@ ALLOWED = (
     re.compile(rb"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}"),
     re.compile(rb"sha(1|224|256|384|512)-[A-Za-z0-9+/=]+"),
     re.compile(rb"[A-Z]{2}[0-9]{2}(-?[A-Z0-9]{4}){3,7}"),
-    re.compile(rb"[0-9+-]+"),
+    re.compile(rb"[0-9]{0,19}([+-]+[0-9]{0,19})*"),
 )
 #: Before a candidate: what makes it a part of an address, a path or embedded data.
-ALLOWED_BEFORE = re.compile(rb"(://[^\s\"'<>]*|data:[a-z/+.-]+;base64,|/)$", re.IGNORECASE)
+ALLOWED_BEFORE = re.compile(rb"(://[^\s\"'<>]*|data:[a-z/+.-]+;base64,)$", re.IGNORECASE)
+#: A run of words and short numbers between slashes; only these are taken for paths where a slash leads.
+PATH = re.compile(rb"/*(?:(?:[A-Z]?[a-z]+|[A-Z]+)?[0-9]{0,8}[-_/=]+)*(?:(?:[A-Z]?[a-z]+|[A-Z]+)?[0-9]{0,8})?")
 
 WINDOW = 20
-#: Bits per character in a window; a class counts if it holds most of the window.
-THRESHOLDS = {"lower": 9.0, "upper": 3.4, "digit": 9.0, "hex": 3.0, "mixed": 3.6}
-_XLOG = [0.0, *(n * math.log2(n) for n in range(1, WINDOW + 1))]
+#: Bits per character in a window that holds one class alone, hexadecimal digits, or several classes (``cased``: with
+#: fewer than two digits, as names in mixed case have).
+THRESHOLDS = {"lower": 3.7, "upper": 3.4, "digit": 2.6, "sign": 1.9, "hex": 3.0, "mixed": 3.6, "cased": 3.9}
+_XLOG = [0.0, *(n * math.log2(n) for n in range(1, WINDOW + 2))]  # one enters before one leaves
 _HEX = frozenset(b"0123456789abcdefABCDEF")
 
 
@@ -72,9 +75,9 @@ def hot_windows(run: bytes, window: int = WINDOW, thresholds: dict[str, float] =
         hot = False
         if per["hex"] == window:
             hot = per["digit"] >= 3 and per["digit"] < window - 2 and every >= thresholds["hex"]
-        elif kinds >= 2 and per["digit"] >= 2:
-            hot = every >= thresholds["mixed"]
-        for x in ("lower", "upper", "digit"):
+        elif kinds >= 2:
+            hot = every >= thresholds["mixed" if per["digit"] >= 2 else "cased"]
+        for x in ("lower", "upper", "digit", "sign"):
             if not hot and per[x] == window:
                 hot = math.log2(window) - partial[x] / window >= thresholds[x]
         if hot:
@@ -98,7 +101,7 @@ def scan(raw: bytes) -> list[tuple[int, int, int]]:
     for m in CANDIDATE.finditer(raw):
         text = m[0]
         path = m.start() + len(text) - len(text.lstrip(b"/"))
-        if text.isalpha() and (text.islower() or text[1:].islower()) or any(p.fullmatch(text) for p in ALLOWED) or ALLOWED_BEFORE.search(raw, max(0, path - 200), path):
+        if path > m.start() and PATH.fullmatch(text) or any(p.fullmatch(text) for p in ALLOWED) or ALLOWED_BEFORE.search(raw, max(0, path - 200), path):
             continue
         found += [(m.start() + a, 3, m.start() + b) for a, b in hot_windows(text)]
     return sorted(found)

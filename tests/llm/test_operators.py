@@ -155,6 +155,22 @@ def test_secrets(docs, rows, empty, spark):
     assert secrets.redact(docs).columns == docs.columns and secrets.find_secrets(empty).count() == 0
 
 
+def test_entropy_of_every_class():
+    import string
+
+    rng = random.Random(9)
+
+    def caught(letters, n, lead="key "):
+        made = [lead + "".join(rng.choice(letters) for _ in range(n)) + " end" for _ in range(200)]
+        return sum(any(k == 3 for _, k, _ in secrets.scan(t.encode())) for t in made) / 200
+
+    every = string.ascii_letters + string.digits + "+/"
+    assert caught(string.ascii_lowercase, 32) > 0.8 and caught(string.digits, 32) > 0.8 and caught("+/_=-", 32) > 0.8
+    assert caught(string.ascii_letters, 32) > 0.9 and caught(every, 32, "key /") > 0.95
+    for t in ("/usr/share/documentation/readme", "/Home/user/projects/2024/some-file", "+49-30-1234567-890-12", "-" * 40, "=-" * 20):
+        assert not secrets.scan(t.encode()), t
+
+
 def test_incremental_entropy():
     import math
     from collections import Counter
