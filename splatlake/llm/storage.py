@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -39,3 +40,17 @@ class Workspace:
         for df in frames:
             path = jvm.org.apache.hadoop.fs.Path(df._splatlake_path)
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def join_hot(rows: DataFrame, table: DataFrame, key: str, size: str, total: int, cells: int = 2000) -> DataFrame:
+    """rows with the one row of table for their key, if any; size: how many rows a key has, total: how many there are.
+
+    Keys with over a ``cells``-th of all rows, of which there are fewer than ``cells``, are dealt over as many parts as
+    they have such shares.
+    """
+    share = max(1, total // cells)
+    hot = table.filter(F.col(size) > share).select(key, F.ceil(F.col(size) / share).cast("int").alias("__parts"))
+    dealt = rows.join(F.broadcast(hot), key, "left").withColumn("__part", F.coalesce(F.pmod(F.monotonically_increasing_id(), F.col("__parts")), F.lit(0)).cast("int")).drop("__parts")
+    parts = F.when(F.col(size) > share, F.ceil(F.col(size) / share)).otherwise(1).cast("int")
+    spread = table.withColumn("__part", F.explode(F.sequence(F.lit(0), parts - 1)))
+    return dealt.join(spread, [key, "__part"], "left").drop("__part")
