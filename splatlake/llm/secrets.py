@@ -7,7 +7,8 @@ window's class reaches its threshold, the windows join to a span, unless an allo
 rules never suppress a base span.
 
 Null and empty texts have no span.  Rows are independent, so repeated rows and ties give equal results; a text of any
-length is scanned whole.  Extra columns are ignored unless carried; a result column takes the place of a carried one.
+length is scanned whole, in time in proportion to it.  An empty table gives no row.  Extra columns are ignored unless
+carried; a result column takes the place of a carried one.
 """
 
 from __future__ import annotations
@@ -31,12 +32,14 @@ ALLOWED = (
     re.compile(rb"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}"),
     re.compile(rb"sha(1|224|256|384|512)-[A-Za-z0-9+/=]+"),
     re.compile(rb"[A-Z]{2}[0-9]{2}(-?[A-Z0-9]{4}){3,7}"),
-    re.compile(rb"[0-9]{0,19}([+-]+[0-9]{0,19})*"),
+    re.compile(rb"[0-9]{0,19}([+-][0-9]{0,19})*"),
 )
-#: Before a candidate: what makes it a part of an address, a path or embedded data.
-ALLOWED_BEFORE = re.compile(rb"(://[^\s\"'<>]*|data:[a-z/+.-]+;base64,)$", re.IGNORECASE)
+#: What ends an address.  A candidate is part of one if ``://`` stands before it with none of these between.
+BREAKS = tuple(bytes([c]) for c in b" \t\n\r\f\v\"'<>")
+#: Before a candidate: embedded data.
+EMBEDDED = re.compile(rb"data:[a-z/+.-]+;base64,", re.IGNORECASE)
 #: A run of words and short numbers between slashes; only these are taken for paths where a slash leads.
-PATH = re.compile(rb"/*(?:(?:[A-Z]?[a-z]+|[A-Z]+)?[0-9]{0,8}[-_/=]+)*(?:(?:[A-Z]?[a-z]+|[A-Z]+)?[0-9]{0,8})?")
+PATH = re.compile(rb"(?:(?:[A-Z]?[a-z]+|[A-Z]+)?[0-9]{0,8}[-_/=])*(?:(?:[A-Z]?[a-z]+|[A-Z]+)?[0-9]{0,8})?")
 
 WINDOW = 20
 #: Bits per character in a window that holds one class alone, hexadecimal digits, or several classes (``cased``: with
@@ -88,6 +91,31 @@ def hot_windows(run: bytes, window: int = WINDOW, thresholds: dict[str, float] =
     return spans
 
 
+class Before:
+    """Whether a candidate is part of an address or of embedded data; candidates come in order, each byte is looked at once."""
+
+    def __init__(self, raw: bytes, low: bytes):
+        self.raw, self.low, self.at, self.start, self.address = raw, low, 0, 0, False
+
+    def allows(self, at: int) -> bool:
+        low, step, start = at, 256, -1
+        while low > self.at and start < 0:
+            new = max(self.at, low - step)
+            start = max(self.raw.rfind(c, new, low) for c in BREAKS)
+            low, step = new, 2 * step
+        if start >= 0:
+            self.start, self.address = start + 1, self.raw.find(b"://", start + 1, at) >= 0
+        else:
+            self.address = self.address or self.raw.find(b"://", max(self.start, self.at - 2), at) >= 0
+        self.at = at
+        if self.address:
+            return True
+        if self.raw[max(0, at - 8) : at].lower() != b";base64,":
+            return False
+        head = self.low.rfind(b"data:", self.start, at)
+        return head >= 0 and EMBEDDED.fullmatch(self.raw, head, at) is not None
+
+
 def scan(raw: bytes) -> list[tuple[int, int, int]]:
     """(start, kind's index, end) of all spans, in bytes, sorted."""
     found: list[tuple[int, int, int]] = []
@@ -98,10 +126,11 @@ def scan(raw: bytes) -> list[tuple[int, int, int]]:
     if b"AKIA" in raw:
         found += [(m.start(), 1, m.end()) for m in ACCESS.finditer(raw) if len(m[0]) >= 20]
     found += [(m.start(), 2, m.end()) for m in HEX.finditer(raw)]
+    before = Before(raw, low)
     for m in CANDIDATE.finditer(raw):
         text = m[0]
         path = m.start() + len(text) - len(text.lstrip(b"/"))
-        if path > m.start() and PATH.fullmatch(text) or any(p.fullmatch(text) for p in ALLOWED) or ALLOWED_BEFORE.search(raw, max(0, path - 200), path):
+        if before.allows(path) or path > m.start() and PATH.fullmatch(text) or any(p.fullmatch(text) for p in ALLOWED):
             continue
         found += [(m.start() + a, 3, m.start() + b) for a, b in hot_windows(text)]
     return sorted(found)

@@ -174,8 +174,10 @@ def test_field_tells_lines_of_one_document_apart(spark):
     assert got[200].kept and not got[201].kept and got[202].kept
     chars = [len(x.replace(" ", "")) for x in made[120][1].split("\n")]
     assert got[200].content_share == pytest.approx(sum(chars[:9]) / sum(chars))
-    spread = [got[k].content_share for k in range(120)]
-    assert sum(0.02 < x < 0.98 for x in spread) > 40
+    # Decoding smooths single lines over, but documents come out mixed and few lines go wrong.
+    assert sum(0.02 < got[k].content_share < 0.98 for k in range(120)) >= 20
+    wrong = sum(abs(got[k].n_content_lines - sum("###" not in x and "$$$" not in x and "&&&" not in x for x in t.split("\n"))) for k, t in made)
+    assert wrong <= 0.1 * sum(r.n_lines for r in got.values())
     assert all(got[k].kept == bool(k % 2) for k in range(120))
 
 
@@ -217,18 +219,49 @@ def test_incremental_entropy():
     import math
     from collections import Counter
 
-    rng = random.Random(5)
-    for _ in range(50):
-        run = "".join(rng.choice("abcXYZ0123456789/+") for _ in range(40)).encode()
-        covered = {p for a, b in secrets.hot_windows(run) for p in range(a, b)}
-        want = set()
-        for k in range(len(run) - 19):
-            w = run[k : k + 20]
-            h = -sum(n / 20 * math.log2(n / 20) for n in Counter(w).values())
-            kinds = sum(any(lo <= c <= hi for c in w) for lo, hi in ((48, 57), (65, 90), (97, 122)))
-            if kinds >= 2 and sum(48 <= c <= 57 for c in w) >= 2 and not all(c in b"0123456789abcdefABCDEF" for c in w) and h >= 3.6 + 1e-9:
-                want |= set(range(k, k + 20))
-        assert want <= covered
+    def hot(w):
+        h = math.log2(20) - sum(n * math.log2(n) for n in Counter(w).values()) / 20
+        per = {"lower": sum(97 <= c <= 122 for c in w), "upper": sum(65 <= c <= 90 for c in w), "digit": sum(48 <= c <= 57 for c in w)}
+        per["sign"] = 20 - sum(per.values())
+        limits = []
+        if all(c in b"0123456789abcdefABCDEF" for c in w):
+            limits += [secrets.THRESHOLDS["hex"]] * (3 <= per["digit"] < 18)
+        elif sum(per[x] > 0 for x in ("lower", "upper", "digit")) >= 2:
+            limits.append(secrets.THRESHOLDS["mixed" if per["digit"] >= 2 else "cased"])
+        limits += [secrets.THRESHOLDS[x] for x, n in per.items() if n == 20]
+        return any(h >= t + 1e-9 for t in limits), any(h >= t - 1e-9 for t in limits)
+
+    rng, n = random.Random(5), 0
+    for letters in ("abcXYZ0123456789/+", "0123456789", "abcdefghijklmnopqrstuvwxyz", "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "+/=_-", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", "ab1"):
+        for _ in range(40):
+            run = "".join(rng.choice(letters) for _ in range(rng.randint(20, 60))).encode()
+            covered = {p for a, b in secrets.hot_windows(run) for p in range(a, b)}
+            flags = [hot(run[k : k + 20]) for k in range(len(run) - 19)]
+            must, may = ({p for k, f in enumerate(flags) if f[x] for p in range(k, k + 20)} for x in (0, 1))
+            assert must <= covered <= may, run
+            n += bool(covered)
+    assert 100 < n < 300
+
+
+def test_address_of_any_length():
+    key = "xK9fQ2mZ7pR4tW8vB1nC5dL0"
+    for n in (0, 50, 150, 300, 5000):
+        path = "/".join(["part.of"] * (n // 8))
+        assert not [x for x in secrets.scan(f"see https://host/{path}/?k={key} end".encode()) if x[1] == 3], n
+        assert [x for x in secrets.scan(f"see https://host/{path} {key} end".encode()) if x[1] == 3], n
+        assert not [x for x in secrets.scan(f"https://host/{path}:{key}.{key}:{key}".encode()) if x[1] == 3], n
+        assert [x for x in secrets.scan(f"{'.' * n}{key}.{key}".encode()) if x[1] == 3], n
+    assert not [x for x in secrets.scan(f"data:image/png;base64,{key}".encode()) if x[1] == 3]
+    assert [x for x in secrets.scan(f"data: ;base64,{key}".encode()) if x[1] == 3]
+
+
+def test_secret_scan_is_linear():
+    import time
+
+    began = time.time()
+    for t in ("-" * 3000 + "a", "=" * 3000 + "9x", "/" * 3000 + "9x9x", "a1" * 50_000, "://" + ("x" * 20 + ".") * 20_000, ("x" * 25 + ".") * 20_000):
+        secrets.scan(t.encode())
+    assert time.time() - began < 60
 
 
 def test_decontamination(docs, rows, empty, spark):
