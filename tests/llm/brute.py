@@ -71,6 +71,24 @@ def contamination(text, items):
     return len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit)
 
 
+def longest_match(text, items):
+    """(words, start, item) of the longest verbatim match of at least a window; ties: first start, least item id as a string."""
+    w, best = words(text, ALNUM), (0, -1, None)
+    starts = defaultdict(list)
+    for k, x in enumerate(w):
+        starts[x].append(k)
+    for item, t in items:
+        b = words(t, ALNUM)
+        for s in range(len(b)):
+            for k in starts[b[s]]:
+                n = 0
+                while s + n < len(b) and k + n < len(w) and b[s + n] == w[k + n]:
+                    n += 1
+                if n >= min(10, len(b)):
+                    best = min(best, (n, k, None if item is None else str(item)), key=lambda x: (-x[0], x[1], x[2] is None, x[2] or ""))
+    return best
+
+
 ASSIGN = re.compile(r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 
 

@@ -271,9 +271,11 @@ def test_decontamination(docs, rows, empty, spark):
     items += [(20, "one"), (21, "two WORDS"), (22, ""), (23, None), (24, "absent words only here"), (3, " ".join(text[15].split(" ")[:14])), (10, items[0][1])]
     bench = spark.createDataFrame(items, "item_id long, text string")
     want = {i: brute.contamination(t, items) for i, t in rows}
+    longest = {i: brute.longest_match(t, items) for i, t in rows}
     for size in (16 << 20, 300):
         got = {r.doc_id: r for r in decontam.find_contamination(docs, bench, block_bytes=size).collect()}
         assert {i: (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for i, r in got.items()} == want
+        assert {i: (r.longest_match, r.match_start, r.match_item) for i, r in got.items()} == longest
     assert got[0].longest_match >= 10
     kept = {r.doc_id for r in decontam.remove_contaminated(docs, bench).collect()}
     assert kept == {i for i, w in want.items() if not w[4]}
@@ -281,6 +283,29 @@ def test_decontamination(docs, rows, empty, spark):
     assert decontam.find_contamination(docs, bench.limit(0)).filter("contaminated").count() == 0
 
 
+def test_suffix_array_is_sorted_to_the_end():
+    rng = np.random.default_rng(3)
+    for kinds, least in ((2, 1), (4, 3), (30, 1)):
+        ids = np.concatenate([rng.integers(0, kinds, 400), np.tile([1, 2, 1], 40), [0] * 11]).astype(np.int64)
+        tail = lambda i: ids[i : i + int(np.argmax(ids[i:] == 0))].tolist()
+        sa = decontam.suffix_array(ids, least).tolist()
+        assert sorted(sa) == [i for i in range(len(ids)) if len(tail(i)) >= least]
+        assert [tail(i) for i in sa] == sorted(map(tail, sa))
+
+
+def test_benchmark_in_many_blocks(spark):
+    rng = random.Random(21)
+    bag = vocabulary(rng, 60)
+    text = lambda n: " ".join(rng.choice(bag) for _ in range(n))
+    items = [(k, text(rng.randint(1, 60))) for k in range(300)]
+    rows = [(i, " ".join([text(30), *(rng.choice(items)[1] for _ in range(rng.randint(0, 3))), text(10)])) for i in range(60)]
+    table, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = {i: (*brute.contamination(t, items), *brute.longest_match(t, items)) for i, t in rows}
+    for size in (1 << 20, 2000):
+        got = {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated, r.longest_match, r.match_start, r.match_item) for r in decontam.find_contamination(table, bench, block_bytes=size).collect()}
+        assert got == want
+
+
 def test_packing(docs, rows, empty):
     tokenizers = pytest.importorskip("tokenizers")
     public = pytest.importorskip("public_tokenizers")
