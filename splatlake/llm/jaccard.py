@@ -20,7 +20,9 @@ The order needs frequencies only to be fast: shingles that are frequent within a
 ``MAX_HOT`` of the most frequent are sent to all tasks (a bound of 16 bytes each); any order gives the same result.
 
 Null, empty or wordless texts have no shingle and link with nothing (component: their own id).  A text of 1 to 4 words is
-one shingle.  Repeated rows are copies.  Rows without an id keep a row, with a null component, and lend links to nobody.
+one shingle.  Repeated rows are copies; rows that repeat an id with another text are nodes of their own, with one id.
+Rows without an id keep a row, with a null component, and lend links to nobody.  Ties go by signature and change no
+result.  Texts of any length are read whole; an empty table gives no row; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,8 +33,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .kernels import each_run, map_rows, mix, shingles
-from .storage import Workspace
+from .kernels import each_run, map_documents, map_rows, mix, restored, shingles
+from .storage import Workspace, hot_keys, join_hot
 
 WORDS, PERCENT = 5, 80
 MAX_HOT, BATCH_HOT, SMALL, SUB_BLOCK, SALT_OVER, CENTRES = 200_000, 3, 8, 512, 1_000_000, 2
@@ -317,8 +319,9 @@ def _apart(product: DataFrame, labels: DataFrame, unproven: DataFrame, work: Wor
     those that share a shingle across components.  unproven: pairs of small groups that were not verified, with counts.
     """
     at = product.filter("kind = 1").select(F.col("a").alias("node"), F.col("na").alias("n"), "h").join(labels, "node", "left").select("h", "node", "n", F.coalesce("label", "node").alias("label"))
-    mixed = at.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("h")
-    at = work.keep(at.join(mixed, "h").distinct())
+    at = work.keep(at)
+    mixed = work.keep(at.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("size")).filter("lo <> hi").select("h", "size"))
+    at = work.keep(join_hot(at, mixed.select("h"), ["h"], hot_keys(mixed, ["h"], "size", at.count()), "inner").distinct())
     extra = unproven.select(F.col("a").alias("node"), "c").unionByName(unproven.select(F.col("b").alias("node"), "c")).groupBy("node").agg(F.max("c").alias("extra"))
     # A node's shingles here are of its prefix, so the list is no longer than its own text.
     node = at.groupBy("node").agg(F.min("h").alias("key"), F.first("label").alias("label"), F.first("n").alias("n"), F.collect_list("h").alias("hs")).join(extra, "node", "left")
@@ -345,12 +348,20 @@ def _apart(product: DataFrame, labels: DataFrame, unproven: DataFrame, work: Wor
     return work.keep(left.unionByName(right).groupBy("block", "other").applyInArrow(_candidates(percent), "block long, other long, side int, node long, label long"))
 
 
-def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT, block_entries: int = 1 << 20, broadcast_rows: int = 2_000_000) -> DataFrame:
+def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT, block_entries: int = 1 << 20, broadcast_rows: int = 250_000) -> DataFrame:
     """A row per document: doc_id, n_shingles, component_id, n_links.
 
     n_links counts the verified links of the document's set.  What a component already implies is not verified again, so
     it is a lower bound of its degree; it is 0 only for a set that is linked with no other one.
     """
+    nodes, total, held = _classes(docs, id_col, text_col, words, percent, block_entries, broadcast_rows)
+    out = join_hot(nodes, held.select("sig", "component", "n_links"), ["sig"], hot_keys(held, ["sig"], "copies", total))
+    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
+def _classes(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int, block_entries: int, broadcast_rows: int) -> tuple[DataFrame, int, DataFrame]:
+    """The rows (doc_id, n_shingles, sig), how many, and for each set with copies or links: sig, rep (its least id), copies,
+    label, component (the least id of its component), winner (the set that stands for it), n_links."""
     spark = docs.sparkSession
     work = Workspace(spark, "jaccard")
     first = work.keep(_nodes(docs, id_col, text_col, words))
@@ -361,7 +372,8 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
     rank = np.empty(len(shingle), np.uint64)
     rank[:] = np.arange(len(shingle), 0, -1)
     hot = spark.sparkContext.broadcast((shingle[order], rank[order], np.maximum(1, -(-count // SALT_OVER))[order]))
-    total = nodes.agg(F.sum(F.floor(F.col("n_shingles") * (100 - percent) / 100) + 1)).first()[0] or 0
+    counted = nodes.agg(F.sum(F.floor(F.col("n_shingles") * (100 - percent) / 100) + 1).alias("entries"), F.count(F.lit(1)).alias("rows")).first()
+    total = counted["entries"] or 0
     entries = _entries(docs, text_col, words, percent, hot, max(64, int(total) // block_entries))
     product = work.keep(entries.groupBy("block").applyInArrow(_product(percent, hot), _PRODUCT))
 
@@ -389,18 +401,34 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
     # Only sets with copies or links need more than their own row.
     held = nodes.filter("doc_id is not null and n_shingles > 0").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
     held = held.join(labels.select(F.col("node").alias("sig"), "label"), "sig", "left").join(degree, "sig", "left").filter("copies > 1 or label is not null")
-    held = work.keep(held.withColumn("label", F.coalesce("label", "sig")))
-    least = held.groupBy("label").agg(F.min("rep").alias("component"))
-    final = held.join(least, "label").select("sig", "component", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.lit(1).alias("real"))
-    # A set may have a third of all rows as copies: its rows are dealt over 64 salts.
-    salted = final.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(63))))
-    out = nodes.withColumn("salt", F.when(F.col("n_shingles") > 0, F.pmod(F.xxhash64("doc_id"), F.lit(64)).cast("int"))).join(salted, ["sig", "salt"], "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    held = work.keep(held.withColumn("label", F.coalesce("label", "sig")).withColumn("n_links", F.coalesce("n_links", F.lit(0))))
+    least = held.groupBy("label").agg(F.min(F.struct("rep", "sig")).alias("least")).select("label", F.col("least.rep").alias("component"), F.col("least.sig").alias("winner"))
+    return nodes, counted["rows"], work.keep(held.join(least, "label"))
+
 
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT, block_entries: int = 1 << 20, broadcast_rows: int = 250_000) -> DataFrame:
+    """One document of each component stays, that of the least id, with all its columns.
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """One document of each component stays, the one with the least id; repeated rows of an id stay once.  Rows without an id stay."""
-    found = join(docs, id_col, text_col, **options)
-    gone = found.filter("component_id < doc_id").select(F.col("doc_id").alias(id_col)).distinct()
-    kept = docs.join(gone, id_col, "left_anti")
-    return kept.filter(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(kept.filter(F.col(id_col).isNull()))
+    Documents are rows: rows that repeat an id with another text are documents of their own, and of rows that repeat an id
+    with the same set (or with no words) one stays.  Rows without an id stay.
+    """
+    work = Workspace(docs.sparkSession, "deduplicate")
+    nodes, total, held = _classes(docs, id_col, text_col, words, percent, block_entries, broadcast_rows)
+    # A row for each id and set that has something to lose.
+    own = nodes.filter("doc_id is not null").groupBy("doc_id", "sig").agg(F.count(F.lit(1)).alias("rows"))
+    own = join_hot(own, held.select("sig", "component", "winner"), ["sig"], hot_keys(held, ["sig"], "copies", total))
+    gone = F.col("winner").isNotNull() & ((F.col("winner") != F.col("sig")) | (F.col("component") != F.col("doc_id")))
+    fate = work.keep(own.select("doc_id", "sig", "rows", gone.alias("gone")).filter("gone or rows > 1").select(F.col("doc_id").alias("__id"), F.col("sig").alias("__sig"), "rows", "gone"))
+
+    def signed(column):
+        sig = [sets(w, words)[1] for _, _, w in each_run(column)]
+        return {"__sig": pa.array(np.concatenate(sig) if sig else np.zeros(0, np.int64))}
+
+    k = docs.columns.index(id_col)
+    rows = map_documents(docs, text_col, "__sig long", signed).withColumn("__id", F.col(f"__c{k}").cast("long"))
+    left = join_hot(rows, fate, ["__id", "__sig"], hot_keys(fate, ["__id", "__sig"], "rows", total)).filter("gone is null or not gone")
+    if fate.filter("not gone").limit(1).count():
+        columns = left.columns
+        once = left.filter("rows > 1").groupBy("__id", "__sig").agg(F.first(F.struct(*columns)).alias("__x")).select("__x.*")
+        left = left.filter("rows is null or rows = 1").unionByName(once)
+    return restored(left, docs.columns)

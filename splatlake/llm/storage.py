@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """``spark.checkpoint.dir`` of the session; a folder of this machine only where it is unset, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not found:
         found = "file://" + tempfile.mkdtemp(prefix="splatlake-")
         spark.conf.set("spark.checkpoint.dir", found)
@@ -42,15 +44,15 @@ class Workspace:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def join_hot(rows: DataFrame, table: DataFrame, key: str, size: str, total: int, cells: int = 2000) -> DataFrame:
-    """rows with the one row of table for their key, if any; size: how many rows a key has, total: how many there are.
-
-    Keys with over a ``cells``-th of all rows, of which there are fewer than ``cells``, are dealt over as many parts as
-    they have such shares.
-    """
+def hot_keys(counts: DataFrame, keys: list[str], size: str, total: int, cells: int = 2000) -> DataFrame:
+    """Of keys with their numbers of rows (size, of total): those with over a ``cells``-th of all, so fewer than ``cells``, and
+    how many such shares they have."""
     share = max(1, total // cells)
-    hot = table.filter(F.col(size) > share).select(key, F.ceil(F.col(size) / share).cast("int").alias("__parts"))
-    dealt = rows.join(F.broadcast(hot), key, "left").withColumn("__part", F.coalesce(F.pmod(F.monotonically_increasing_id(), F.col("__parts")), F.lit(0)).cast("int")).drop("__parts")
-    parts = F.when(F.col(size) > share, F.ceil(F.col(size) / share)).otherwise(1).cast("int")
-    spread = table.withColumn("__part", F.explode(F.sequence(F.lit(0), parts - 1)))
-    return dealt.join(spread, [key, "__part"], "left").drop("__part")
+    return counts.filter(F.col(size) > share).select(*keys, F.ceil(F.col(size) / share).cast("int").alias("__parts"))
+
+
+def join_hot(rows: DataFrame, table: DataFrame, keys: list[str], hot: DataFrame, how: str = "left") -> DataFrame:
+    """rows with the one row of table for their key; the rows of a hot key are dealt over its parts."""
+    dealt = rows.join(F.broadcast(hot), keys, "left").withColumn("__part", F.coalesce(F.pmod(F.monotonically_increasing_id(), F.col("__parts")), F.lit(0)).cast("int")).drop("__parts")
+    spread = table.join(F.broadcast(hot), keys, "left").withColumn("__part", F.explode(F.sequence(F.lit(0), F.coalesce("__parts", F.lit(1)) - 1))).drop("__parts")
+    return dealt.join(spread, [*keys, "__part"], how).drop("__part")

@@ -92,6 +92,18 @@ def test_jaccard_without_ids_and_deduplicate(spark, rows):
     assert sorted(str(r.doc_id) for r in jaccard.deduplicate(some).collect()) == ["0", "5", "None"]
 
 
+def test_deduplicate_by_row(spark):
+    rng = random.Random(6)
+    text = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(40))
+    a, b, c, d = text(), text(), text(), text()
+    made = [(1, a, "x"), (1, b, "x"), (2, a, "y"), (3, b + " more", "y"), (4, c, "z"), (4, c, "z"), (5, None, "z"), (5, "", "z"), (None, a, "n"), (None, a, "n"), (6, d, "w"), (7, d.upper(), "w")]
+    table = spark.createDataFrame(made, "doc_id long, text string, sig string").withColumn("rows", F.lit(3)).withColumn("gone", F.lit(True))
+    kept = sorted(((str(r.doc_id), r.text) for r in jaccard.deduplicate(table).collect()), key=lambda x: (x[0], x[1] or ""))
+    assert [x for x in kept if x[0] != "5"] == sorted([("1", a), ("1", b), ("4", c), ("6", d), ("None", a), ("None", a)])
+    assert sum(x[0] == "5" for x in kept) == 1 and jaccard.deduplicate(table).columns == table.columns
+    assert jaccard.deduplicate(table.limit(0)).count() == 0
+
+
 def test_components(spark):
     from splatlake.llm.storage import Workspace
 
