@@ -91,7 +91,7 @@ def _nodes(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
                         pool.append(x)
                 yield pa.RecordBatch.from_arrays([pa.array(np.zeros(j - i, np.int32)), ids.slice(i, j - i), pa.array([len(x) for x in own], pa.int64()), pa.array(sig)], names=["kind", "doc_id", "n", "sig"])
                 done += sum(map(len, own))
-                if done > 4_000_000:
+                if done > 2_000_000:
                     if (r := hot()) is not None:
                         yield r
                     done = 0
@@ -140,7 +140,7 @@ def _entries(docs: DataFrame, text_col: str, n: int, percent: int, hot, n_blocks
                     first = x[np.argpartition(key, p - 1)[:p]] if p < len(x) else x
                     held.append((first, np.full(p, s, np.int64), np.full(p, len(x), np.int32)))
                     count += p
-                if count > 2_000_000:
+                if count > 800_000:
                     yield flush()
                     held.clear()
                     count = 0
@@ -220,9 +220,9 @@ def _product(percent: int, hot):
     return block
 
 
-def _sets(wanted: DataFrame, docs: DataFrame, nodes: DataFrame, work: Workspace, text_col: str, id_col: str, n: int, broadcast_rows: int) -> DataFrame:
+def _sets(wanted: DataFrame, docs: DataFrame, reps: DataFrame, work: Workspace, text_col: str, id_col: str, n: int, broadcast_rows: int) -> DataFrame:
     """sig, set: the whole sets of the wanted nodes, each made from one of its documents."""
-    ids = work.keep(nodes.join(wanted, "sig").groupBy("sig").agg(F.min("doc_id").alias("__id")).select("__id").distinct())
+    ids = work.keep(reps.join(wanted, "sig").select(F.col("rep").alias("__id")).distinct())
     small = ids.count() <= broadcast_rows  # 8 bytes a row
     source = docs.select(F.col(f"`{id_col}`").cast("long").alias("__id"), F.col(f"`{text_col}`").cast("string").alias("__t")).join(F.broadcast(ids) if small else ids, "__id", "left_semi")
 
@@ -348,7 +348,7 @@ def _apart(product: DataFrame, labels: DataFrame, unproven: DataFrame, work: Wor
     return work.keep(left.unionByName(right).groupBy("block", "other").applyInArrow(_candidates(percent), "block long, other long, side int, node long, label long"))
 
 
-def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT, block_entries: int = 1 << 20, broadcast_rows: int = 250_000) -> DataFrame:
+def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT, block_entries: int = 1 << 19, broadcast_rows: int = 250_000) -> DataFrame:
     """A row per document: doc_id, n_shingles, component_id, n_links.
 
     n_links counts the verified links of the document's set.  What a component already implies is not verified again, so
@@ -366,6 +366,8 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, words: int, percent: i
     work = Workspace(spark, "jaccard")
     first = work.keep(_nodes(docs, id_col, text_col, words))
     nodes = first.filter("kind = 0").select("doc_id", F.col("n").alias("n_shingles"), "sig")
+    # Added up before it is sent, however many copies a set has.
+    reps = work.keep(nodes.filter("doc_id is not null and n_shingles > 0").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")))
     frequent = first.filter("kind = 1").groupBy("sig").agg(F.sum("n").alias("c")).orderBy(F.desc("c"), "sig").limit(MAX_HOT).toArrow()
     shingle, count = frequent.column("sig").to_numpy().view(np.uint64), frequent.column("c").to_numpy()
     order = np.argsort(shingle)
@@ -387,7 +389,7 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, words: int, percent: i
     stars = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     wanted = work.keep(pairs.filter(F.col("c") >= bound).select("a", "b").unionByName(stars).distinct())
     ends = lambda p: p.select(F.col("a").alias("sig")).unionByName(p.select(F.col("b").alias("sig"))).distinct()
-    made = lambda some: _sets(some, docs, nodes, work, text_col, id_col, words, broadcast_rows)
+    made = lambda some: _sets(some, docs, reps, work, text_col, id_col, words, broadcast_rows)
     known = _verified(wanted, made(ends(wanted)), work, percent)
     labels = components(known, work, rounds=3)
 
@@ -399,14 +401,13 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, words: int, percent: i
     labels = components(links, work)
     degree = links.select(F.col("a").alias("sig")).unionByName(links.select(F.col("b").alias("sig"))).groupBy("sig").agg(F.count(F.lit(1)).alias("n_links"))
     # Only sets with copies or links need more than their own row.
-    held = nodes.filter("doc_id is not null and n_shingles > 0").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
-    held = held.join(labels.select(F.col("node").alias("sig"), "label"), "sig", "left").join(degree, "sig", "left").filter("copies > 1 or label is not null")
+    held = reps.join(labels.select(F.col("node").alias("sig"), "label"), "sig", "left").join(degree, "sig", "left").filter("copies > 1 or label is not null")
     held = work.keep(held.withColumn("label", F.coalesce("label", "sig")).withColumn("n_links", F.coalesce("n_links", F.lit(0))))
     least = held.groupBy("label").agg(F.min(F.struct("rep", "sig")).alias("least")).select("label", F.col("least.rep").alias("component"), F.col("least.sig").alias("winner"))
     return nodes, counted["rows"], work.keep(held.join(least, "label"))
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT, block_entries: int = 1 << 20, broadcast_rows: int = 250_000) -> DataFrame:
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT, block_entries: int = 1 << 19, broadcast_rows: int = 250_000) -> DataFrame:
     """One document of each component stays, that of the least id, with all its columns.
 
     Documents are rows: rows that repeat an id with another text are documents of their own, and of rows that repeat an id
