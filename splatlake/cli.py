@@ -35,19 +35,19 @@ def main(argv: list[str] | None = None) -> int:
     spark = SparkSession.builder.appName("splatlake").getOrCreate()
     try:
         if args["self_test"]:
-            from .sources.ply import write_ply
+            from .sources.ply import write_splats
             from .sources.synthetic import cloud
 
             output = output or source or os.path.join(tempfile.gettempdir(), "splatlake-self-test")
             os.makedirs(output, exist_ok=True)
             source = os.path.join(output, "self_test.ply")
-            write_ply(source, cloud(spark, args["self_test_count"]).orderBy("splat_id").toArrow())
+            write_splats(cloud(spark, args["self_test_count"]), source)
         if not source or not output:
             raise ConversionError("an input and an output are needed")
         if not os.path.exists(source):
             raise ConversionError(f"no such file: {source}")
         convert(spark, source, output, **args)
-    except ConversionError as e:
+    except (ConversionError, ValueError) as e:  # a bad file, no splats, a refused tile
         print(f"error: {e}", file=sys.stderr)
         return 2
     return 0

@@ -19,7 +19,7 @@ from ..functions import canonical as C
 from ..functions import frames
 from ..operators import encode as E
 from ..operators import kdtree, lod
-from ..streaming.checkpoint import Manifest, fingerprint
+from ..streaming.checkpoint import Manifest, fingerprint, shared_dir
 from . import tileset as T
 from .options import ConversionError, TilingOptions, apportion, depth_target, geometric_error, root_error
 
@@ -61,15 +61,10 @@ class Build:
         return int(1000 * (time.time() - began))
 
     def _ready(self) -> None:
-        """checkpoint() needs a folder that executors share; one of this machine only where none is set, as in tests."""
+        """checkpoint() needs a folder that executors share."""
         context = self.spark.sparkContext
         if context._jsc.sc().getCheckpointDir().isEmpty():
-            found = self.spark.conf.get("spark.checkpoint.dir", None)
-            if not found:
-                import tempfile
-
-                found = "file://" + tempfile.mkdtemp(prefix="splatlake-")
-            context.setCheckpointDir(found)
+            context.setCheckpointDir(shared_dir(self.spark))
 
     @staticmethod
     def _checkpointed(df: DataFrame) -> DataFrame:

@@ -193,21 +193,22 @@ def root_error(own_error: float, diagonal: float, count: int, deepest: int, opti
 def apportion(target: int, counts: list[int], floors: list[int]) -> list[int]:
     """Splits a target over parts in proportion to their counts: at least the floors, at most the counts.
 
-    Each part first gets its floor and its whole share of the rest; what is left goes by largest remainder, then larger
-    count, then position.
+    Each part first gets its floor and, of the rest, the whole rows of its share by count, as far as it has room.  What is
+    left goes out a row a part, round after round, by what the share lacked, then larger count, then position.
     """
+    whole = sum(counts)
     out = [min(c, f) for c, f in zip(counts, floors)]
-    left = target - sum(out)
+    left = min(max(target, sum(out)), whole) - sum(out)
     room = [c - o for c, o in zip(counts, out)]
-    total = sum(room)
-    if left <= 0 or not total:
+    if left <= 0:
         return out
-    left = min(left, total)
-    share = [left * r / total for r in room]
-    add = [min(r, math.floor(s)) for r, s in zip(room, share)]
-    rest = left - sum(add)
-    for k in sorted(range(len(counts)), key=lambda k: (-(share[k] - math.floor(share[k])), -counts[k], k)):
-        if rest and add[k] < room[k]:
-            add[k] += 1
-            rest -= 1
+    add = [min(r, left * c // whole) for c, r in zip(counts, room)]
+    lacks = [left * c - a * whole for c, a in zip(counts, add)]
+    left -= sum(add)
+    ranked = sorted(range(len(counts)), key=lambda k: (-lacks[k], -counts[k], k))
+    while left and (open_parts := [k for k in ranked if add[k] < room[k]]):
+        rounds = min(left // len(open_parts), min(room[k] - add[k] for k in open_parts))
+        for k in open_parts if rounds else open_parts[:left]:
+            add[k] += max(rounds, 1)
+            left -= max(rounds, 1)
     return [o + a for o, a in zip(out, add)]

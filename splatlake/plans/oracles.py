@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from ..operators.kdtree import AXIS_RATIO
 from .queries import CANON0, GRID, KEPT, PLANES, RAW0
 
 _AX = "xyz"
@@ -122,6 +123,17 @@ ORACLE_SQL = {
     "projection_histogram": f"WITH {_HIST} SELECT * FROM h",
     "prefix_suffix_volume": f"WITH {_HIST}, w AS (SELECT bin, sum(n) OVER lo AS n_below, sum(n) OVER hi AS n_above, {', '.join(f'min(min_{c}) OVER {p} AS {p}l{c}, max(max_{c}) OVER {p} AS {p}h{c}' for p in ('lo', 'hi') for c in _AX)} FROM h WINDOW lo AS (ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), hi AS (ORDER BY bin ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) SELECT bin, n_below::BIGINT AS n_below, n_above::BIGINT AS n_above, round({_volume([f'lol{c}' for c in _AX], [f'loh{c}' for c in _AX])}, 3) AS v_below, round({_volume([f'hil{c}' for c in _AX], [f'hih{c}' for c in _AX])}, 3) AS v_above FROM w WHERE n_below IS NOT NULL",
     "best_split": f"WITH {_HIST}, t AS (SELECT sum(n) AS n, {_each('min(min_{c}) AS lo_{c}, max(max_{c}) AS hi_{c}')} FROM h), s AS (SELECT b.range AS boundary, {_SIDE['b']}, {_SIDE['a']} FROM range(1, 128) b, h GROUP BY b.range), f AS (SELECT s.*, t.*, lo_y+(hi_y-lo_y)*boundary/128.0 AS split FROM s, t WHERE nb > 0 AND na > 0), o AS (SELECT boundary::INT AS boundary, nb::BIGINT AS n_below, na::BIGINT AS n_above, split, ({_volume([f'blo_{c}' for c in _AX], [f'bhi_{c}' for c in _AX])}+{_volume([f'alo_{c}' for c in _AX], [f'ahi_{c}' for c in _AX])})/({_volume([f'lo_{c}' for c in _AX], [f'hi_{c}' for c in _AX])})+0.5::DOUBLE*least(1.0::DOUBLE, abs(split-(lo_y+(hi_y-lo_y)/2))/((hi_y-lo_y)/2))+0.1::DOUBLE*abs(nb-na)::DOUBLE/n::DOUBLE AS score FROM f) SELECT boundary, n_below, n_above, round(split, 6) AS split, round(score, 9) AS score FROM o ORDER BY score, boundary LIMIT 10",
+    "ply_round_trip": f"WITH {CANON0} SELECT splat_id, x, y, z, s0, s1, s2, {_each('round({c}::DOUBLE, 5)+0.0 AS {c}', ('qx', 'qy', 'qz', 'qw', 'opacity'))}, f_dc_0 AS sh0, f_dc_1 AS sh1, f_dc_2 AS sh2 FROM cloud0",
+    "engine_first_split": f"""WITH {CANON0}, whole AS (SELECT count(*) AS n, {BOUNDS} FROM cloud0),
+ ax AS ({' UNION ALL '.join(f'SELECT {k} AS axis, min_{c} AS low, max_{c} AS high, max_{c}-min_{c} AS extent FROM whole' for k, c in enumerate(_AX))}),
+ ranked AS (SELECT *, row_number() OVER (ORDER BY extent DESC, axis) AS r, max(extent) OVER () AS widest FROM ax),
+ chosen AS (SELECT *, CASE WHEN r = 1 THEN 1.0::DOUBLE ELSE greatest(1.0, sqrt(widest/extent)) END AS factor FROM ranked WHERE r = 1 OR (r = 2 AND widest/extent < {AXIS_RATIO})),
+ p AS (SELECT c.axis, c.low, c.extent, x, y, z, CASE c.axis WHEN 0 THEN x::DOUBLE WHEN 1 THEN y::DOUBLE ELSE z::DOUBLE END AS v FROM cloud0, chosen c),
+ h AS (SELECT axis, least(greatest(floor((v-low)/extent*128.0), 0), 127)::INT AS bin, count(*) AS n, {BOUNDS} FROM p GROUP BY 1, 2),
+ s AS (SELECT h.axis, b.range::INT AS boundary, {_SIDE['b']}, {_SIDE['a']} FROM h, range(1, 128) b GROUP BY 1, 2),
+ m AS (SELECT s.axis, c.low+c.extent*boundary/128.0 AS split, {_volume([f'blo_{c}' for c in _AX], [f'bhi_{c}' for c in _AX])} AS vb, {_volume([f'alo_{c}' for c in _AX], [f'ahi_{c}' for c in _AX])} AS va, nb, na, c.low, c.extent, c.factor FROM s JOIN chosen c USING (axis) WHERE nb > 0 AND na > 0),
+ best AS (SELECT axis, split FROM m, whole WHERE split > low AND split < low+extent ORDER BY ((va+vb)/({_volume([f'whole.min_{c}' for c in _AX], [f'whole.max_{c}' for c in _AX])})+0.5*least(1.0, abs(split-(low+extent/2))/(extent/2))+0.1*abs(nb-na)/n)*factor LIMIT 1)
+SELECT axis::INT AS axis, round(any_value(split), 9) AS "offset", count(*) FILTER (v < split) AS n_below, count(*) FILTER (v >= split) AS n_above FROM best JOIN p USING (axis) GROUP BY axis""",
     "halfspace_route": f"WITH {CANON0} SELECT splat_id, CASE WHEN x::DOUBLE*0.6::DOUBLE+y::DOUBLE*0.8::DOUBLE+z::DOUBLE*0.0::DOUBLE >= 80.0 THEN 1 ELSE 0 END AS slot FROM cloud0",
     "leaf_route": f"WITH {_ROUTED} SELECT splat_id, path FROM l3",
     "kd_leaf_stats": f"WITH {_LEAF} SELECT path, n, {_each('min_{c}')}, {_each('max_{c}')} FROM leaf",
@@ -136,11 +148,19 @@ ORACLE_SQL = {
     "fill_leftover": f"WITH {_KEPT} SELECT slot, splat_id, stage FROM kept",
     "nearest_rep_assign": f"WITH {_ASSIGNED} SELECT splat_id, slot FROM assigned",
     "merge_weighted_mean": f"WITH {_ASSIGNED} SELECT slot, count(*) AS members, {_each('round((sum(weight*{c}::DOUBLE)/sum(weight))::FLOAT::DOUBLE, 2)+0.0 AS {c}')}, round((sum(weight*opacity::DOUBLE)/sum(weight))::FLOAT::DOUBLE, 4) AS opacity, {', '.join(f'round((sum(weight*{f}::DOUBLE)/sum(weight))::FLOAT::DOUBLE, 4)+0.0 AS sh{k}' for k, f in enumerate(_FDC))} FROM assigned GROUP BY slot",
-    "merge_covariance": f"WITH {_MEANS}, c AS (SELECT slot, {'+'.join(f'greatest(sum(weight*({_COV[k]}+({c}::DOUBLE-m{c}::DOUBLE)*({c}::DOUBLE-m{c}::DOUBLE)))/any_value(w), 1e-20)' for k, c in ((0, 'x'), (3, 'y'), (5, 'z')))} AS tr FROM assigned JOIN means USING (slot) WHERE slot < 50 GROUP BY slot) SELECT slot, round(tr/greatest(tr, 1.0), 3) AS scaled_trace, round(log10(tr), 3) AS log_trace FROM c",
+    "merge_covariance": f"WITH {_MEANS}, s AS (SELECT slot, {', '.join(f'sum(weight*({_COV[k]}+({a}::DOUBLE-m{a}::DOUBLE)*({b}::DOUBLE-m{b}::DOUBLE)))/any_value(w) AS r{a}{b}' for k, (a, b) in enumerate(_PAIRS))} FROM assigned JOIN means USING (slot) GROUP BY slot), c AS (SELECT slot, {', '.join(f'greatest(r{p}, 1e-20) AS t{p}' if p[0] == p[1] else f'r{p} AS t{p}' for p in _PAIRS)} FROM s) SELECT slot, round(log10(txx+tyy+tzz), 3) AS log_trace, {', '.join(f'round(t{p}/(txx+tyy+tzz), 3)+0.0 AS {p}' for p in _PAIRS)} FROM c",
     "own_error_p95": f"WITH {_ASSIGNED}, e AS (SELECT {_DIST}+t.radius::DOUBLE+k.radius::DOUBLE AS e FROM assigned t JOIN kept k USING (slot)) SELECT 0 AS node, round(quantile_cont(e, 0.95), 4) AS own_error FROM e",
     "handoff_union": f"WITH {_ROUTED} SELECT splat_id, path[1:1] AS parent, (row_number() OVER (PARTITION BY path[1:1] ORDER BY path, splat_id)-1)::INT AS row FROM l3 WHERE length(path) >= 2",
     "emitted_children": f"WITH {_LEAF} SELECT path, (SELECT path[1:length(path)-k.range] FROM range(1, 4) k WHERE k.range <= length(path) AND path[1:length(path)-k.range] NOT IN ('0', '01') ORDER BY k.range LIMIT 1) AS emitted_parent FROM leaf",
     "depth_targets": "SELECT d.range::INT AS depth, least(n, greatest(1, ceil(n/pow(2, 6-d.range))))::BIGINT AS target FROM range(0, 7) d, (SELECT count(*) AS n FROM events)",
+    "apportion_targets": """WITH c AS (SELECT c_nationkey, count(*) AS n FROM customer GROUP BY 1),
+ p AS (SELECT n_regionkey, n_nationkey, coalesce(n, 0) AS n, least(coalesce(n, 0), 1+5*(n_nationkey%3)) AS floor, t.range::INT AS tenth FROM nation LEFT JOIN c ON c_nationkey = n_nationkey, range(0, 11) t),
+ w AS (SELECT *, sum(n) OVER g AS whole, greatest(sum(n) OVER g * tenth // 10, sum(floor) OVER g) - sum(floor) OVER g AS remaining FROM p WINDOW g AS (PARTITION BY n_regionkey, tenth)),
+ e AS (SELECT *, least(n-floor, remaining*n // greatest(whole, 1)) AS extra FROM w),
+ r AS (SELECT *, remaining - sum(extra) OVER (PARTITION BY n_regionkey, tenth) AS rest, row_number() OVER (PARTITION BY n_regionkey, tenth ORDER BY remaining*n-extra*whole DESC, n DESC, n_nationkey) AS priority FROM e),
+ units AS (SELECT n_regionkey, tenth, n_nationkey, rest, row_number() OVER (PARTITION BY n_regionkey, tenth ORDER BY turn, priority) AS turn FROM (SELECT *, unnest(range(1, (n-floor-extra+1)::BIGINT)) AS turn FROM r)),
+ more AS (SELECT n_regionkey, tenth, n_nationkey, count(*) AS m FROM units WHERE turn <= rest GROUP BY ALL)
+SELECT n_regionkey, n_nationkey, tenth, (floor+extra+coalesce(m, 0))::BIGINT AS part FROM r LEFT JOIN more USING (n_regionkey, tenth, n_nationkey)""",
     "geometric_error_by_depth": "SELECT d.range::INT AS depth, 8.0::DOUBLE*pow(0.5::DOUBLE, d.range) AS error FROM range(0, 7) d",
     "auto_depth": "WITH RECURSIVE n AS (SELECT unnest([160000, 160001, 320000, 320001, 1000000])::BIGINT AS n), d AS (SELECT n, CASE WHEN n <= 160000 THEN 0 ELSE ceil(ln(160000.0/n)/ln(0.5)-1e-12)::INT END AS depth FROM n), e AS (SELECT 1 AS r, 2::BIGINT AS t UNION ALL SELECT r+1, t+t//2 FROM e WHERE r < 40) SELECT n, depth, CASE WHEN depth = 0 OR n <= 5000*pow(2, depth) THEN 1 ELSE (SELECT min(r) FROM e WHERE t >= n/(5000*pow(2, depth))) END::INT AS refinement FROM d",
     "enu_matrix": " UNION ALL ".join(f"SELECT {lat}::DOUBLE AS lat, {lon}::DOUBLE AS lon, {k}::INT AS k, round(({v})::DOUBLE, 6)+0.0 AS v" for lat, lon in (("0", "0"), ("35", "139"), ("(-33)", "151")) for k, v in enumerate(_fixed(lat, lon))),

@@ -8,12 +8,16 @@ from __future__ import annotations
 
 import json
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import canonical as C
+from ..functions import spz
 from ..operators import lod
-from .options import TilingOptions, auto_max_depth, auto_tile_refinement, depth_target, enu_matrix, geometric_error
+from ..streaming.checkpoint import shared_dir
+from .options import TilingOptions, apportion, auto_max_depth, auto_tile_refinement, depth_target, enu_matrix, geometric_error
 
 GRID, KEPT = 5, 200
 #: Fixed planes of a three-level tree: path, axis, offset.
@@ -110,6 +114,20 @@ def split_weight(spark, sf_dir):
     return cloud0(spark, sf_dir).select("splat_id", F.round(C.split_weight(), 5).alias("weight"))
 
 
+def ply_round_trip(spark, sf_dir):
+    """The cloud written as a PLY file in the shared folder and read back through the data source, in many partitions."""
+    import uuid
+
+    from ..sources import ply
+
+    path = f"{shared_dir(spark)}/cloud-{uuid.uuid4().hex}.ply"
+    system, at = ply.filesystem(path)
+    system.create_dir(at.rsplit("/", 1)[0])
+    ply.write_splats(cloud0(spark, sf_dir), path)
+    back = ply.read_splats(spark, path)
+    return back.select("splat_id", "x", "y", "z", "s0", "s1", "s2", *[(F.round(C.num(c), 5) + 0.0).alias(c) for c in ("qx", "qy", "qz", "qw", "opacity")], *[F.col("sh")[k].alias(f"sh{k}") for k in range(3)])
+
+
 # Global aggregates.
 
 
@@ -176,6 +194,19 @@ def best_split(spark, sf_dir):
     return both.select("boundary", F.col("nb").alias("n_below"), F.col("na").alias("n_above"), F.round(split, 6).alias("split"), F.round(score, 9).alias("score")).orderBy("score", "boundary").limit(10)
 
 
+def engine_first_split(spark, sf_dir):
+    """The partition's own choice for the root: axis, offset, and how many rows lie on either side."""
+    from ..operators import kdtree
+
+    at = cloud0(spark, sf_dir).select("splat_id", "x", "y", "z")
+    part = kdtree.Partition(at, FLAGSHIP, checkpoint_every=1 << 30)
+    root = part.nodes[0]
+    axes = kdtree.split_axes(kdtree.axes_by_extent(part._ranges(root)), False)
+    axis, offset = part._planes([(root, "count", axes)])[0]
+    side = C.slot([F.lit(float(v)) for v in axis.direction], F.lit(offset))
+    return at.agg(F.lit(axis.index).alias("axis"), F.round(F.lit(offset), 9).alias("offset"), F.count_if(side == 0).alias("n_below"), F.count_if(side == 1).alias("n_above"))
+
+
 def halfspace_route(spark, sf_dir):
     d = (0.6, 0.8, 0.0)
     return cloud0(spark, sf_dir).select("splat_id", C.slot([F.lit(v) for v in d], F.lit(80.0)).alias("slot"))
@@ -275,10 +306,11 @@ def merge_weighted_mean(spark, sf_dir):
 
 
 def merge_covariance(spark, sf_dir):
-    """The covariance that a merged splat's scale and rotation stand for: trace and xx, which no choice of axes changes."""
-    m = lod.merged(_assigned(spark, sf_dir).filter("slot < 50"), 3)
+    """The covariance that every merged splat's scale and rotation stand for: its trace, and all six terms as shares of it."""
+    m = lod.merged(_assigned(spark, sf_dir), 3)
     c = C.covariance()
-    return m.select("slot", F.round((c[0] + c[3] + c[5]) / F.greatest(c[0] + c[3] + c[5], F.lit(1.0)), 3).alias("scaled_trace"), F.round(F.log10(c[0] + c[3] + c[5]), 3).alias("log_trace"))
+    trace = c[0] + c[3] + c[5]
+    return m.select("slot", F.round(F.log10(trace), 3).alias("log_trace"), *[(F.round(v / trace, 3) + 0.0).alias(n) for v, n in zip(c, ("xx", "xy", "xz", "yy", "yz", "zz"))])
 
 
 def own_error_p95(spark, sf_dir):
@@ -310,6 +342,22 @@ def depth_targets(spark, sf_dir):
     return spark.createDataFrame([(d, depth_target(n, d, 6, 0.5)) for d in range(7)], "depth int, target long")
 
 
+def apportion_targets(spark, sf_dir):
+    """Splits of a target over parts with floors: regions' shares of customers over their nations, for several targets."""
+    customers = _read(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("nation")).agg(F.count(F.lit(1)).alias("n"))
+    parts = _read(spark, sf_dir, "nation").join(customers, F.col("n_nationkey") == F.col("nation"), "left").select("n_regionkey", "n_nationkey", F.coalesce("n", F.lit(0)).alias("n"))
+    parts = parts.withColumn("floor", F.least("n", 1 + 5 * F.pmod("n_nationkey", F.lit(3)))).withColumn("tenth", F.explode(F.sequence(F.lit(0), F.lit(10))))
+    schema = "n_regionkey int, n_nationkey int, tenth int, part long"
+
+    def split(table: pa.Table) -> pa.Table:
+        rows = sorted(table.to_pylist(), key=lambda r: r["n_nationkey"])
+        counts = [r["n"] for r in rows]
+        got = apportion(sum(counts) * rows[0]["tenth"] // 10, counts, [r["floor"] for r in rows])
+        return pa.table({"n_regionkey": pa.array([r["n_regionkey"] for r in rows], pa.int32()), "n_nationkey": pa.array([r["n_nationkey"] for r in rows], pa.int32()), "tenth": pa.array([r["tenth"] for r in rows], pa.int32()), "part": pa.array(got, pa.int64())})
+
+    return parts.groupBy("n_regionkey", "tenth").applyInArrow(split, schema)
+
+
 def geometric_error_by_depth(spark, sf_dir):
     return spark.createDataFrame([(d, geometric_error(8.0, d, 0.5)) for d in range(7)], "depth int, error double")
 
@@ -323,38 +371,42 @@ def enu(spark, sf_dir):
     return spark.createDataFrame(rows, "lat double, lon double, k int, v double")
 
 
-# Encoding, as column expressions (the packet kernel is checked against these in the tests).
+# Encoding: packets of each batch of rows, unpacked again.
+
+
+def _unpacked(cloud: DataFrame, schema: str, fields, centre=(0.0, 0.0, 0.0), sh_bits: int = 8) -> DataFrame:
+    """splat_id and what ``fields`` takes from the stored packet of each row."""
+
+    def each(batches):
+        for b in batches:
+            t = pa.Table.from_batches([b])
+            cols = lambda *names: np.stack([t.column(c).to_numpy() for c in names], 1)
+            sh = np.asarray(t.column("sh").combine_chunks().flatten()).reshape(t.num_rows, -1)
+            got = spz.unpack(spz.compress(spz.packet(cols("x", "y", "z"), t.column("opacity").to_numpy(), sh, cols("s0", "s1", "s2"), cols("qx", "qy", "qz", "qw"), list(centre), sh_bits, sh_bits)))
+            yield pa.RecordBatch.from_pydict({"splat_id": t.column("splat_id").combine_chunks(), **fields(got)})
+
+    return cloud.mapInArrow(each, "splat_id long, " + schema)
 
 
 def spz_position(spark, sf_dir):
-    local = lambda c, t: (C.num(c) - F.lit(t)).cast("float").cast("double")
-    return cloud0(spark, sf_dir).select("splat_id", *[F.rint(local(c, t) * 4096.0).cast("long").alias(f"p{c}") for c, t in (("x", 75.0), ("y", 50.0), ("z", 15.0))])
+    fields = lambda got: {f"p{c}": pa.array(np.rint(got["xyz"][:, k] * 4096).astype(np.int64)) for k, c in enumerate("xyz")}
+    return _unpacked(cloud0(spark, sf_dir), "px long, py long, pz long", fields, (75.0, 50.0, 15.0))
 
 
 def spz_opacity_color_scale(spark, sf_dir):
-    byte = lambda v: C.clamp(F.rint(v), 0.0, 255.0).cast("int")
-    return cloud0(spark, sf_dir).select("splat_id", byte(C.clamp(C.num("opacity"), 0.0, 1.0) * 255.0).alias("o"), *[byte(C.num(F.col("sh")[k]) * 38.25 + 127.5).alias(f"c{k}") for k in range(3)], *[byte((C.num(f"s{k}") + 10.0) * 16.0).alias(f"s{k}") for k in range(3)])
+    names = ("o", "c0", "c1", "c2", "s0", "s1", "s2")
+    fields = lambda got: dict(zip(names, map(pa.array, np.concatenate([got["opacity"], got["color"], got["scale"]], 1).T.astype(np.int32))))
+    return _unpacked(cloud0(spark, sf_dir), ", ".join(f"{n} int" for n in names), fields)
 
 
 def spz_sh(spark, sf_dir):
-    b = 16.0  # 4 bits
-    v = cloud3(spark, sf_dir).select("splat_id", F.posexplode("sh").alias("k", "v")).filter("k >= 3")
-    return v.select("splat_id", "k", C.clamp(F.floor((F.rint(C.num("v") * 128.0 + 128.0) + b / 2) / b) * b, 0, 255).cast("int").alias("b"))
+    fields = lambda got: {"v": pa.array(list(got["sh"].astype(np.int32)), pa.list_(pa.int32()))}
+    return _unpacked(cloud3(spark, sf_dir), "v array<int>", fields, sh_bits=4).select("splat_id", F.posexplode("v").alias("k", "b")).select("splat_id", (F.col("k") + 3).alias("k"), "b")
 
 
 def spz_quat(spark, sf_dir):
-    q = [C.num(c) for c in ("qx", "qy", "qz", "qw")]
-    n = F.sqrt(sum((v * v for v in q[1:]), q[0] * q[0]))
-    u = [v / n for v in q]
-    largest = F.greatest(*[F.abs(v) for v in u])
-    index = F.coalesce(*[F.when(F.abs(v) == largest, k) for k, v in enumerate(u)])
-    head = F.element_at(F.array(*u), index + 1)
-    out = index.cast("long")
-    for k, v in enumerate(u):
-        size = F.least(F.lit(511), F.floor(F.lit(511.0) * (F.abs(v) / 0.7071067811865476) + 0.5))
-        part = ((v < 0) != (head < 0)).cast("int") * 512 + size
-        out = F.when(index == k, out).otherwise(out * 1024 + part)
-    return cloud0(spark, sf_dir).select("splat_id", out.cast("long").alias("packed"))
+    fields = lambda got: {"packed": pa.array(np.ascontiguousarray(got["rotation"]).view("<u4").ravel().astype(np.int64))}
+    return _unpacked(cloud0(spark, sf_dir), "packed long", fields)
 
 
 # The whole engine.
@@ -406,5 +458,5 @@ def synthetic_cloud(spark, sf_dir):
     return cloud(spark, 10_000).agg(F.count(F.lit(1)).alias("n"), *[F.round(F.avg(C.num(c)), 3).alias(f"mean_{c}") for c in "xyz"], F.round(F.min(C.num("opacity")), 2).alias("least_opacity"))
 
 
-QUERIES = {f.__name__: f for f in (canonical_core, canonical_sh3, opacity_khr, log_scale, quat_normalise, extents_3sigma, radius_3sigma, covariance6, split_weight, global_bounds, weighted_moments, cloud_bounds_3sigma, projection_histogram, prefix_suffix_volume, best_split, halfspace_route, leaf_route, kd_leaf_stats, ancestor_rollup, tree_stats, volume_median_flag, root_refine_topk, voxel_assign, voxel_occupancy, voxel_representative, extra_candidates, fill_leftover, nearest_rep_assign, merge_weighted_mean, merge_covariance, own_error_p95, handoff_union, emitted_children, depth_targets, geometric_error_by_depth, auto_depth, spz_position, spz_opacity_color_scale, spz_sh, spz_quat, lod_full, kd_tree_full, spz_packet, glb_tiles, tileset_json, synthetic_cloud)}
+QUERIES = {f.__name__: f for f in (canonical_core, canonical_sh3, opacity_khr, log_scale, quat_normalise, extents_3sigma, radius_3sigma, covariance6, split_weight, ply_round_trip, global_bounds, weighted_moments, cloud_bounds_3sigma, projection_histogram, prefix_suffix_volume, best_split, engine_first_split, halfspace_route, leaf_route, kd_leaf_stats, ancestor_rollup, tree_stats, volume_median_flag, root_refine_topk, voxel_assign, voxel_occupancy, voxel_representative, extra_candidates, fill_leftover, nearest_rep_assign, merge_weighted_mean, merge_covariance, own_error_p95, handoff_union, emitted_children, depth_targets, apportion_targets, geometric_error_by_depth, auto_depth, spz_position, spz_opacity_color_scale, spz_sh, spz_quat, lod_full, kd_tree_full, spz_packet, glb_tiles, tileset_json, synthetic_cloud)}
 QUERIES["enu_matrix"] = enu

@@ -13,6 +13,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -96,9 +97,23 @@ def local(path: str) -> str:
     return path[7:] if path.startswith("file://") else path.removeprefix("file:")
 
 
+def filesystem(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path or URI (local disk, HDFS or an object store that Arrow knows) and the path in it."""
+    if path.startswith("file:"):
+        return fs.LocalFileSystem(), "/" + path[5:].lstrip("/")
+    if "://" in path:
+        return fs.FileSystem.from_uri(path)
+    return fs.LocalFileSystem(), os.path.abspath(path)
+
+
+def opened(path: str):
+    system, at = filesystem(path)
+    return system.open_input_file(at)
+
+
 def read_header(path: str) -> Header:
     raw = b""
-    with open(local(path), "rb") as f:
+    with opened(path) as f:
         while b"end_header" not in raw and len(raw) < MAX_HEADER and (more := f.read(1 << 16)):
             raw += more
         raw += f.read(4)
@@ -152,14 +167,15 @@ class SplatPly(DataSource):
 
 class PlyReader(DataSourceReader):
     def __init__(self, path: str, schema: StructType, rows: int):
-        self.path, self.out, self.rows, self.header = local(path), schema, rows, read_header(path)
+        self.path, self.out, self.rows, self.header = path, schema, rows, read_header(path)
 
     def partitions(self) -> list[InputPartition]:
         n = self.header.count
         if self.header.format == "ascii":
             return [Rows(0, n)]
         need = self.header.offset + n * self.header.dtype.itemsize
-        if os.path.getsize(self.path) < need:
+        system, at = filesystem(self.path)
+        if system.get_file_info(at).size < need:
             raise PlyError("the file is shorter than its vertex count")
         return [Rows(k, min(n, k + self.rows)) for k in range(0, n, self.rows)] or [Rows(0, 0)]
 
@@ -173,7 +189,7 @@ class PlyReader(DataSourceReader):
 
     def read(self, partition: Rows) -> Iterator[pa.RecordBatch]:
         kind = self.header.dtype
-        with open(self.path, "rb") as f:
+        with opened(self.path) as f:
             if self.header.format == "ascii":
                 yield from self._ascii(f)
                 return
@@ -220,8 +236,8 @@ def read_splats(spark: SparkSession, path: str, convention: str = "graphdeco", l
     return C.canonicalise(raw.select("splat_id", *[F.col(f"`{n}`").alias(c) for n, c in names.items()]), convention, linear_scale)
 
 
-def write_ply(path: str, table: pa.Table) -> None:
-    """A graphdeco-like binary file of a collected splat table: opacity as logit, rotation w first, zero normals."""
+def encoded(table: pa.Table) -> tuple[list[str], bytes]:
+    """Property names and rows, graphdeco-like: opacity as logit, rotation w first, zero normals."""
     n = table.num_rows
     sh = np.asarray(table.column("sh").combine_chunks().flatten(), np.float32).reshape(n, -1)
     extra = sh.shape[1] // 3 - 1
@@ -238,7 +254,34 @@ def write_ply(path: str, table: pa.Table) -> None:
     rows["opacity"] = np.log(o / (1 - o))
     for k, c in enumerate(("qw", "qx", "qy", "qz")):
         rows[f"rot_{k}"] = table.column(c).to_numpy()
-    head = ["ply", "format binary_little_endian 1.0", f"element vertex {n}", *(f"property float {name}" for name in names), "end_header"]
-    with open(local(path), "wb") as f:
-        f.write(("\n".join(head) + "\n").encode())
-        f.write(rows.tobytes())
+    return names, rows.tobytes()
+
+
+def _head(n: int, names: list[str]) -> bytes:
+    return ("\n".join(["ply", "format binary_little_endian 1.0", f"element vertex {n}", *(f"property float {name}" for name in names), "end_header"]) + "\n").encode()
+
+
+def write_ply(path: str, table: pa.Table) -> None:
+    """A binary file of a collected splat table."""
+    names, data = encoded(table)
+    system, at = filesystem(path)
+    with system.open_output_stream(at) as f:
+        f.write(_head(table.num_rows, names) + data)
+
+
+def write_splats(splats: DataFrame, path: str) -> int:
+    """A binary file of the splats by id: executors encode, the driver passes one partition at a time on to the file."""
+    n, first = splats.count(), splats.limit(1).toArrow()
+    if not n:
+        raise PlyError("no splats")
+
+    def encode(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"data": pa.array([encoded(pa.Table.from_batches([b]))[1]], pa.binary())})
+
+    system, at = filesystem(path)
+    with system.open_output_stream(at) as f:
+        f.write(_head(n, encoded(first)[0]))
+        for r in splats.orderBy("splat_id").mapInArrow(encode, "data binary").toLocalIterator():
+            f.write(bytes(r.data))
+    return n

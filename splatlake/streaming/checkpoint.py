@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import tempfile
 from dataclasses import asdict
 
 # Options that do not change the written stages.
@@ -52,3 +53,14 @@ class Manifest:
     def clear(self) -> None:
         if os.path.exists(self.path):
             os.remove(self.path)
+
+
+def shared_dir(spark) -> str:
+    """``spark.checkpoint.dir`` of the session; a folder of this machine only in local mode with none set, as in tests."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="splatlake-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")

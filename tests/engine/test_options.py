@@ -24,6 +24,18 @@ def test_apportion():
         assert sum(out) == min(max(target, sum(floors)), sum(counts)) and all(f <= o <= c for f, o, c in zip(floors, out, counts))
 
 
+def test_apportion_values():
+    # Shares follow the counts, not the room above the floors.
+    assert apportion(12, [10, 10], [1, 5]) == [4, 8]
+    # 10 rows above the floors: 5.56, 2.78, 1.67; the two left go to .78 and .67.
+    assert apportion(13, [100, 50, 30], [1, 1, 1]) == [6, 4, 3]
+    # A full part passes its rows on: shares 13.3, 13.3, 13.3 with room for 2, 19 and 19; whole rounds, then by position.
+    assert apportion(45, [22, 22, 22], [20, 3, 3]) == [22, 12, 11]
+    # A share that the room cuts short lacks most, but has no room.
+    assert apportion(9, [3, 9], [3, 1]) == [3, 6]
+    assert apportion(100, [4, 5], [1, 1]) == [4, 5] and apportion(1, [4, 5], [2, 2]) == [2, 2] and apportion(3, [], []) == []
+
+
 def test_options_names_and_checks():
     o = TilingOptions.of(maxDepth="auto", **{"leaf-limit": 5}, sampleMode="sample", buildConcurrency=3)
     assert (o.max_depth, o.leaf_limit, o.sample_mode) == (None, 5, "sample")
