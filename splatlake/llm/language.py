@@ -8,7 +8,9 @@ in a softmax of the negative losses, and a small gap to the runner-up sets ``amb
 The classifiers learn from a bounded sample: at most ``sample_rows`` labelled texts in all, chosen by a hash of the row's
 id within each language, whole texts, as n-gram counts made on the executors.  Prediction uses every whole text.  A null
 text, or one without a letter, is ``und`` with score 0.  Ties go to the language that sorts first.  Without training
-rows everything is ``und``.  With one language every text with letters is that language.  Rows are independent.
+rows everything is ``und``.  With one language every text with letters is that language.  Rows are independent, so repeated
+rows give equal results (and teach as often as they are there).  Texts of any length are read whole; an empty table gives
+no row; columns other than the named ones are ignored (kept with ``carry`` unless a result has their name).
 """
 
 from __future__ import annotations
@@ -105,7 +107,9 @@ def fit(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str =
         return None
     each = sample_rows / len(per)
     rate = F.create_map(*[F.lit(x) for lang, n in per.items() for x in (lang, min(1.0, each / n))])
-    sample = rows.filter(F.pmod(F.xxhash64("__id"), F.lit(1 << 30)) < rate[F.col("__lang")] * float(1 << 30)).limit(sample_rows)
+    rank = F.pmod(F.xxhash64("__id"), F.lit(1 << 30))
+    # Ordered, so that the same rows teach however the table is dealt.
+    sample = rows.filter(rank < rate[F.col("__lang")] * float(1 << 30)).orderBy(rank, "__id", F.xxhash64("__t")).limit(sample_rows)
 
     def fn(column: pa.Array) -> dict[str, pa.Array]:
         made = [vector(c) for c in counts(column)]

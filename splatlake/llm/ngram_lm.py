@@ -12,7 +12,9 @@ The join of n-gram counts with exploded n-grams is made in blocks of columns ins
 So a word crosses the network once per chunk and order, pre-aggregated, whatever its frequency: no key is hot.
 Scores: ``log_prob`` (natural logarithm, summed over the words), ``score`` (its mean by word), ``n_backoff`` (words that
 did not get the full order).  Null, empty or wordless texts have 0 words, log_prob 0 and a null score.  Words are runs of
-anything but ASCII white space, A-Z lower-cased.  Repeated rows count and score like any other.
+anything but ASCII white space, A-Z lower-cased.  Repeated rows count and score like any other.  Texts of any length are
+read whole; an empty table gives no row; other columns are ignored, whatever their names.  The rows between the two stages
+are chunks times ranges.
 """
 
 from __future__ import annotations

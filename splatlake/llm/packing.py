@@ -8,7 +8,9 @@ remainder is cut into power-of-two sequences, which need no padding.
 
 A null text is an empty one (a single end id).  Repeated rows are packed once each.  A document of any length is encoded
 whole; memory holds one batch of texts, the cache of encoded words and the open windows.  ``sequence_id`` comes from the
-partition number and a counter, so a retried task makes the same rows.
+partition number and a counter, so a retried task makes the same rows.  A row without an id is packed under a null id;
+windows of equal room are ties that go to the one opened first.  An empty table gives no row; columns other than the named
+ones are ignored, whatever their names.
 """
 
 from __future__ import annotations

@@ -8,9 +8,10 @@ counts for much, a rare one leaves the say to shorter contexts.  The score of a
 log-odds, and a URL with no rule is blocked where that exceeds 0.
 
 The model has at most len(alphabet)^(order+1) rows: 40^3 = 64,000 by default, which is the proven bound for the
-broadcast; with a larger order it is joined without a hint.  Null or schemeless URLs have empty host and path, and count as empty strings
-(their score comes from the end mark alone).  Without URLs of both classes the score is null and the verdict is allow.
-Repeated rows give equal results.  Extra columns are ignored.
+broadcast; with a larger order it is joined without a hint.  Null or schemeless URLs have empty host and path; a schemeless
+one is scored as the string that it is, a null or empty one by the end mark alone.  Without URLs of both classes the score
+is null and the verdict is allow.  Repeated rows give equal results.  URLs of any length are read whole; an empty table
+gives no row; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -57,23 +58,27 @@ def _explode(df: DataFrame, order: int, keep: list[str]) -> DataFrame:
     return df.select(*keep, F.explode(grams).alias("gram"))
 
 
-def model(labelled: DataFrame, order: int = ORDER) -> DataFrame:
-    """gram -> delta (log rejected - log accepted) for every gram that the URLs have; labelled: __s, block (1, 0 or null)."""
-    counts = _explode(labelled, order, ["block"]).groupBy("gram").agg(F.count_if(F.col("block") == 0).alias("n0"), F.count_if(F.col("block") == 1).alias("n1"))
-    out = counts.select("gram", "n0", "n1")
+def model(labelled: DataFrame, order: int = ORDER, keep=lambda df: df) -> DataFrame:
+    """gram -> delta (log rejected - log accepted) for every gram that the URLs have; labelled: __s, block (1, 0 or null).
+
+    keep() writes the counts, which are used several times.
+    """
+    counts = keep(_explode(labelled, order, ["block"]).groupBy("gram").agg(F.count_if(F.col("block") == 0).alias("n0"), F.count_if(F.col("block") == 1).alias("n1")))
+    total = counts.agg(F.sum("n0").alias("s0"), F.sum("n1").alias("s1")).first()
     # Order 0: add-one over the alphabet; then each longer context by Witten-Bell.
     size = float(len(ALPHABET))
-    for k in range(order + 1):
-        tail = F.substring("gram", order + 1 - k, k + 1)
-        context = F.substring("gram", order + 1 - k, k) if k else F.lit("")
-        by_gram = counts.groupBy(tail.alias("t")).agg(F.sum("n0").alias("c0"), F.sum("n1").alias("c1"))
-        by_context = by_gram.groupBy((F.substring("t", 1, k) if k else F.lit("")).alias("x")).agg(*[e for c in "01" for e in (F.sum(f"c{c}").alias(f"s{c}"), F.count_if(F.col(f"c{c}") > 0).alias(f"d{c}"))])
-        out = out.withColumn("t", tail).withColumn("x", context).join(by_gram, "t").join(by_context, "x")
+    by_gram = counts.groupBy(F.substring("gram", order + 1, 1).alias("t")).agg(F.sum("n0").alias("c0"), F.sum("n1").alias("c1"))
+    out = counts.select("gram", F.substring("gram", order + 1, 1).alias("t")).join(by_gram, "t")
+    out = out.select("gram", *[((F.col(f"c{c}") + 1.0) / (F.lit(float(total[f"s{c}"] or 0)) + size)).alias(f"p{c}") for c in "01"])
+    for k in range(1, order + 1):
+        by_gram = counts.groupBy(F.substring("gram", order + 1 - k, k + 1).alias("t")).agg(F.sum("n0").alias("c0"), F.sum("n1").alias("c1"))
+        by_context = by_gram.groupBy(F.substring("t", 1, k).alias("x")).agg(*[e for c in "01" for e in (F.sum(f"c{c}").alias(f"s{c}"), F.count_if(F.col(f"c{c}") > 0).alias(f"d{c}"))])
+        out = out.withColumn("t", F.substring("gram", order + 1 - k, k + 1)).withColumn("x", F.substring("gram", order + 1 - k, k)).join(by_gram, "t").join(by_context, "x")
+        mixed = []
         for c in "01":
-            lower = F.col(f"p{c}") if k else F.lit(1.0 / size)
             seen = F.col(f"s{c}") + F.col(f"d{c}")
-            out = out.withColumn(f"p{c}", F.when(seen > 0, (F.col(f"c{c}") + F.col(f"d{c}") * lower) / seen).otherwise(lower) if k else (F.col(f"c{c}") + F.lit(1.0)) / (F.col(f"s{c}") + F.lit(size)))
-        out = out.select("gram", "n0", "n1", "p0", "p1")
+            mixed.append(F.when(seen > 0, (F.col(f"c{c}") + F.col(f"d{c}") * F.col(f"p{c}")) / seen).otherwise(F.col(f"p{c}")).alias(f"p{c}"))
+        out = out.select("gram", *mixed)
     return out.select("gram", (F.log("p1") - F.log("p0")).alias("delta"))
 
 
@@ -89,7 +94,7 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules
         settled = F.when(F.col("rule") == r, F.lit(verdict)).otherwise(settled)
     base = base.withColumn("__settled", settled).withColumn("block", (F.col("__settled") == "block").cast("int"))
     work = Workspace(pages.sparkSession, "urls")
-    table = work.keep(model(base, order))
+    table = work.keep(model(base, order, work.keep))
     small = len(ALPHABET) ** (order + 1) <= max_broadcast_rows
     # A row's number in its partition keeps repeated pages apart; the sum needs no other key, and map tasks add up.
     rows = base.withColumn("__row", F.monotonically_increasing_id())
