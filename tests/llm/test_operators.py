@@ -626,3 +626,41 @@ def test_url_model_by_hand(spark):
         p[c] = {g: prob(g[:2], g[2]) for g in got}
     for g, delta in got.items():
         assert delta == pytest.approx(math.log(p[1][g]) - math.log(p[0][g]))
+
+
+def test_passages_recall_in_large_groups(spark):
+    """Edited copies of a passage in groups of 2 to 200, which hold a stock line that many others have as well."""
+    rng = random.Random(31)
+    bag = vocabulary(rng, 6000)
+    text = lambda n: [rng.choice(bag) for _ in range(n)]
+    stock, made, own = text(20), [], {}
+    for _ in range(300):
+        made.append(text(40) + stock + text(40))
+    for size, groups in ((2, 40), (5, 16), (30, 4), (200, 1)):
+        for _ in range(groups):
+            base = text(50) + stock + text(50)
+            for _ in range(size):
+                near = list(base)
+                for at in rng.sample(range(5, 115), rng.randint(0, 2)):
+                    near[at] = rng.choice(bag)
+                lead = rng.randint(10, 60)
+                own[len(made)] = (lead, near)
+                made.append(text(lead) + near + text(rng.randint(10, 60)))
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, (_, w) in own.items()}
+    holders: dict = {}
+    for i, s in sets.items():
+        for x in s:
+            holders.setdefault(x, set()).add(i)
+    linked = {i for i, s in sets.items() if any(j != i and 5 * len(s & sets[j]) >= 4 * len(s | sets[j]) for j in set().union(*(holders[x] for x in list(s)[:40])))}
+    assert len(linked) > 400
+    table = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(made)], "doc_id long, text string").repartition(6)
+    got = {r.doc_id: r.spans for r in passages.find(table).collect()}
+
+    def whole(i):
+        lead, w = own[i]
+        spans = [tuple(map(int, s.split(":"))) for s in got[i].split(",") if s]
+        return any(min(b, lead + len(w)) - max(a, lead) >= 0.9 * len(w) for a, b, _ in spans)
+
+    recall = sum(map(whole, linked)) / len(linked)
+    print("RECALL", recall, len(linked))
+    assert recall >= 0.97
