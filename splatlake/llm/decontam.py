@@ -188,7 +188,10 @@ SCHEMA = "n_words long, n_hit long, n_items long, items_sha256 string, contamina
 
 def _finder(blocks):
     def fn(column: pa.Array) -> dict[str, pa.Array]:
-        runs = [(w, w.hashes()) for _, _, w in each_run(column, ALNUM, LOWER, 4 << 20)]
+        runs = []
+        for _, _, w in each_run(column, ALNUM, LOWER, 2 << 20):
+            runs.append((w, w.hashes()))
+            w.data = w.starts = w.ends = None  # hashes and counts are all that is held
         covers, founds = [np.zeros(len(h), bool) for _, h in runs], [{} for _ in runs]
         for block in blocks:
             bench = block.value

@@ -178,6 +178,7 @@ def map_rows(df, columns: list[str], text: str, schema: str, fn: Callable[[pa.Ar
         for b in batches:
             made = fn(b.column(len(kept)))
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(len(kept))), *(made[n] for n in names)], names=[*kept, *names])
+        pa.default_memory_pool().release_unused()  # the worker serves other tasks after this one
 
     return source.mapInArrow(each, out)
 
