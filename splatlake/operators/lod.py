@@ -1,7 +1,9 @@
 """Level-of-detail roll-up: each tile keeps a target number of splats, all tiles of a depth at once.
 
 Rows carry ``node`` (the tile), ``o1``/``o2`` (row order: child's rank and slot, or 0 and splat_id) and the splat columns.
-Everything is grouped by (node, voxel) or (node, slot), so a tile of any size is spread over tasks; ties compare exactly.
+Everything is grouped by (node, voxel) or (node, slot), and places within a tile come from range partitions, so a tile of any
+size is spread over tasks.  The search for rows to keep moves the columns of NARROW only; splats join again where they are
+merged.  Ties compare exactly.
 """
 
 from __future__ import annotations
@@ -14,8 +16,36 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import canonical as C
+from ..streaming.checkpoint import Tables
+from .kdtree import BROADCAST_ROWS
 
 MAX_REGRID = 24
+NARROW = ("node", "voxel", "o1", "o2", "x", "y", "z", "radius", "weight")
+
+
+def sized(table: DataFrame, n: int) -> DataFrame:
+    """Broadcast if its n rows are few."""
+    return F.broadcast(table) if n <= BROADCAST_ROWS else table
+
+
+def place(rows: DataFrame, order: list, keep) -> DataFrame:
+    """Adds ``slot``, a row's place (from 0) in its node by ``order``, and ``total``, the node's rows.
+
+    Rows are sorted over range partitions of (node, order) and numbered there; a table of (node, partition), with at most as
+    many rows as there are nodes and partitions, turns numbers into places.
+    """
+    keys = {f"__k{k}": c for k, c in enumerate(order)}
+    by = ["node", *keys]
+    at = keep(rows.withColumns(keys).repartitionByRange(*by).sortWithinPartitions(*by).drop(*keys).withColumn("__at", F.monotonically_increasing_id()))
+    at = at.withColumn("__part", F.shiftright("__at", 33))
+    found = sorted(tuple(r) for r in at.groupBy("node", "__part").agg(F.min("__at"), F.count(F.lit(1))).collect())
+    total: dict[int, int] = {}
+    base = []
+    for node, part, first, n in found:
+        base.append((node, part, total.get(node, 0) - first))
+        total[node] = total.get(node, 0) + n
+    offsets = rows.sparkSession.createDataFrame([(*b, total[b[0]]) for b in base], "node int, __part long, __base long, total long")
+    return at.join(sized(offsets, len(base)), ["node", "__part"]).withColumn("slot", F.col("__at") + F.col("__base")).drop("__at", "__part", "__base")
 
 
 def grid_dims(extent, target: int) -> list[int]:
@@ -28,8 +58,8 @@ def grid_dims(extent, target: int) -> list[int]:
 
 
 def with_voxel(rows: DataFrame, grid: DataFrame) -> DataFrame:
-    """Adds voxel, weight and radius; grid: node, low_x.., ext_x.., d0, d1, d2, diag (of a voxel), target.  Small: one row a tile."""
-    at = rows.join(F.broadcast(grid), "node")
+    """Adds voxel, weight and radius; grid: node, low_x.., ext_x.., d0, d1, d2, diag (of a voxel), target."""
+    at = rows.join(grid, "node")
     u = [C.clamp((C.num(c) - F.col(f"low_{c}")) / F.greatest(F.col(f"ext_{c}"), F.lit(1e-6)), 0.0, 0.999999) for c in "xyz"]
     i, j, k = (F.floor(v * F.col(f"d{n}")).cast("long") for n, v in enumerate(u))
     at = at.withColumn("voxel", i + F.col("d0") * (j + F.col("d1") * k))
@@ -54,7 +84,7 @@ def fit_grid(rows: DataFrame, tiles: list[dict]) -> tuple[DataFrame, list[dict]]
         for t in some:
             size = [e / d for e, d in zip(t["ext"], t["dims"])]
             out.append((t["node"], *map(float, t["low"]), *map(float, t["ext"]), *t["dims"], max(math.sqrt(sum(float(v) ** 2 for v in size)), 1e-12), t["target"]))
-        return spark.createDataFrame(out, "node int, low_x double, low_y double, low_z double, ext_x double, ext_y double, ext_z double, d0 long, d1 long, d2 long, diag double, target long")
+        return sized(spark.createDataFrame(out, "node int, low_x double, low_y double, low_z double, ext_x double, ext_y double, ext_z double, d0 long, d1 long, d2 long, diag double, target long"), len(out))
 
     open_tiles = tiles
     for _ in range(MAX_REGRID):
@@ -70,46 +100,46 @@ def fit_grid(rows: DataFrame, tiles: list[dict]) -> tuple[DataFrame, list[dict]]
 
 
 def representatives(at: DataFrame) -> DataFrame:
-    """rank 1: the row nearest to its voxel's weighted centre (less a share of its radius); rank 2: the same without it."""
-    cell = Window.partitionBy("node", "voxel")
-    order = ["cost", F.desc("weight"), F.desc("radius"), "o1", "o2"]
+    """rank 1: the row nearest to its voxel's weighted centre (less a share of its radius); 2: the same without it; 3: the rest."""
+    # Sums in row order: the same rows give the same sums, and all windows share one sort.
+    cell = Window.partitionBy("node", "voxel").orderBy("o1", "o2").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    at = at.select(*NARROW, "diag", "target")
 
-    def cost(sx, sy, sz, sw):
+    def best(sx, sy, sz, sw, among=None):
         d = [C.num(c) - s / sw for c, s in zip("xyz", (sx, sy, sz))]
-        return (d[0] * d[0] + d[1] * d[1] + d[2] * d[2] - 0.15 * C.num("radius") * C.num("radius")) / F.greatest(F.col("diag") * F.col("diag"), F.lit(1e-12))
-
-    for n, c in (("sw", F.col("weight")), *((f"s{c}", F.col("weight") * C.num(c)) for c in "xyz")):
-        at = at.withColumn(f"__{n}", F.sum(c).over(cell))
-    at = at.withColumn("cost", cost(*(F.col(f"__s{c}") for c in "xyz"), F.col("__sw")))
-    at = at.withColumn("rank", F.row_number().over(cell.orderBy(*order)))
-    first = lambda c: F.max(F.when(F.col("rank") == 1, c)).over(cell)
-    for n, c in (("w", F.col("weight")), *((c, C.num(c)) for c in "xyz")):
-        at = at.withColumn(f"__f{n}", first(c))
-    rest = F.greatest(F.col("__sw") - F.col("__fw"), F.lit(1e-12))
-    at = at.withColumn("cost", F.when(F.col("rank") == 1, F.lit(float("-inf"))).otherwise(cost(*(F.col(f"__s{c}") - F.col("__fw") * F.col(f"__f{c}") for c in "xyz"), rest)))
-    at = at.withColumn("rank", F.row_number().over(cell.orderBy(*order)))
-    return at.drop(*(c for c in at.columns if c.startswith("__")), "cost")
-
-
-def select(at: DataFrame) -> DataFrame:
+        cost = (d[0] * d[0] + d[1] * d[1] + d[2] * d[2] - 0.15 * C.num("radius") * C.num("radius")) / F.greatest(F.col("diag") * F.col("diag"), F.lit(1e-12))
+        row = F.struct(cost.alias("cost"), (-F.col("weight")).alias("w"), (-C.num("radius")).alias("r"), "o1", "o2", *[C.num(c).alias(c) for c in "xyz"])
+        return F.min(row if among is None else F.when(among, row)).over(cell)
+
+    def is_row(name):
+        return (F.col(f"{name}.o1") == F.col("o1")) & (F.col(f"{name}.o2") == F.col("o2"))
+
+    at = at.withColumns({"__w": F.sum("weight").over(cell), **{f"__{c}": F.sum(F.col("weight") * C.num(c)).over(cell) for c in "xyz"}})
+    at = at.withColumn("__1", best(*(F.col(f"__{c}") for c in "xyz"), F.col("__w")))
+    rest = F.greatest(F.col("__w") + F.col("__1.w"), F.lit(1e-12))
+    at = at.withColumn("__2", best(*(F.col(f"__{c}") + F.col("__1.w") * F.col(f"__1.{c}") for c in "xyz"), rest, ~is_row("__1")))
+    rank = F.when(is_row("__1"), 1).when(is_row("__2"), 2).otherwise(3)
+    return at.withColumn("rank", rank).drop("__w", "__x", "__y", "__z", "__1", "__2", "diag")
+
+
+def select(at: DataFrame, keep=None) -> DataFrame:
     """The rows that stay, with their slot: representatives by voxel, then second candidates by weight, then the rest by
     weight, radius and later row, to the tile's target."""
     at = representatives(at)
-    stage = F.least(F.col("rank"), F.lit(3))
     key = F.when(F.col("rank") == 1, F.col("voxel").cast("double")).otherwise(-F.col("weight"))
     last = F.col("rank") > 2
-    order = [stage, key, F.when(last, -C.num("radius")), F.when(last, -F.col("o1")).otherwise(F.col("o1")), F.when(last, -F.col("o2")).otherwise(F.col("o2"))]
-    slot = F.row_number().over(Window.partitionBy("node").orderBy(*order)) - 1
-    return at.withColumn("slot", slot.cast("long")).filter("slot < target")
+    order = [F.col("rank"), key, F.when(last, -C.num("radius")), F.when(last, -F.col("o1")).otherwise(F.col("o1")), F.when(last, -F.col("o2")).otherwise(F.col("o2"))]
+    return place(at, order, keep or Tables(at.sparkSession, "lod")).filter("slot < target")
 
 
 def assign(at: DataFrame, kept: DataFrame) -> DataFrame:
-    """Each row's slot: the kept row of its voxel with least distance plus radius, the first in row order if equal."""
-    reps = kept.select("node", "voxel", F.col("slot"), *[C.num(c).alias(f"r{c}") for c in "xyz"], C.num("radius").alias("rr"), F.col("o1").alias("k1"), F.col("o2").alias("k2"))
+    """Each row's slot, and where its kept row lies: the one of its voxel with least distance plus radius, the first in row
+    order if equal."""
+    reps = kept.select("node", "voxel", "slot", *[C.num(c).alias(f"r{c}") for c in "xyz"], C.num("radius").alias("rr"), F.col("o1").alias("k1"), F.col("o2").alias("k2"))
     d = [C.num(c) - F.col(f"r{c}") for c in "xyz"]
     score = F.sqrt(d[0] * d[0] + d[1] * d[1] + d[2] * d[2]) + F.col("rr")
-    near = at.select("node", "voxel", "o1", "o2", *"xyz").join(reps, ["node", "voxel"]).groupBy("node", "voxel", "o1", "o2").agg(F.min_by("slot", F.struct(score.alias("s"), "k1", "k2")).alias("slot"))
-    return at.join(near, ["node", "voxel", "o1", "o2"])
+    near = F.min_by(F.struct("slot", "rx", "ry", "rz"), F.struct(score.alias("s"), "k1", "k2"))
+    return at.select(*NARROW).join(reps, ["node", "voxel"]).groupBy(*NARROW).agg(near.alias("__r")).select(*NARROW, "__r.*")
 
 
 def eigen_to_scale_quat(cov: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -128,54 +158,67 @@ def eigen_to_scale_quat(cov: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return 0.5 * np.log(values), np.where(q[:, 3:] < 0, -q, q)
 
 
-def merged(assigned: DataFrame, n_sh: int) -> DataFrame:
-    """node, slot, members and the splat that has the members' weighted mean and covariance."""
-    group = Window.partitionBy("node", "slot")
+def merged(rows: DataFrame, assigned: DataFrame, n_sh: int) -> DataFrame:
+    """node, slot, members and the splat that has the members' weighted mean and covariance; a single member stays as it is.
+
+    One aggregation: second moments are taken about the kept row, which lies among the members, and moved to the mean.
+    """
+    at = rows.select("node", "o1", "o2", *C.CORE, "sh").join(assigned.select("node", "o1", "o2", "slot", "weight", "rx", "ry", "rz"), ["node", "o1", "o2"])
     own = dict(zip(("xx", "xy", "xz", "yy", "yz", "zz"), C.covariance()))
-    rows = assigned.withColumn("__w", F.sum("weight").over(group))
-    for c in "xyz":
-        rows = rows.withColumn(f"m{c}", (F.sum(F.col("weight") * C.num(c)).over(group) / F.col("__w")).cast("float"))
-    d = {c: C.num(c) - C.num(f"m{c}") for c in "xyz"}
-    sums = [(F.sum(F.col("weight") * (own[p] + d[p[0]] * d[p[1]])) / F.sum("weight")).alias(p) for p in own]
-    sh = F.array(*[(F.sum(F.col("weight") * F.col("sh")[k]) / F.sum("weight")).cast("float") for k in range(n_sh)])
-    opacity = C.clamp(F.sum(F.col("weight") * C.num("opacity")) / F.sum("weight"), 0.0, 1.0).cast("float")
-    table = rows.groupBy("node", "slot").agg(F.count(F.lit(1)).alias("members"), *[F.first(f"m{c}").alias(c) for c in "xyz"], *sums, opacity.alias("opacity"), sh.alias("sh"))
+    w, one = F.col("weight"), F.col("members") == 1
+    u = {c: C.num(c) - F.col(f"r{c}") for c in "xyz"}
+    shape_of = ("s0", "s1", "s2", "qx", "qy", "qz", "qw")
+    sums = [F.count(F.lit(1)).alias("members"), F.sum(w).alias("__w")]
+    sums += [F.sum(w * C.num(c)).alias(f"__{c}") for c in "xyz"] + [F.sum(w * u[c]).alias(f"__u{c}") for c in "xyz"] + [F.first(f"r{c}").alias(f"r{c}") for c in "xyz"]
+    sums += [F.sum(w * (own[p] + u[p[0]] * u[p[1]])).alias(p) for p in own] + [F.sum(w * C.num("opacity")).alias("__o")]
+    sums += [F.first(c).alias(f"__{c}1") for c in (*shape_of, "opacity")] + [F.sum(w * F.col("sh")[k]).alias(f"__sh{k}") for k in range(n_sh)]
+    table = at.groupBy("node", "slot").agg(*sums)
+    mean = {c: (F.col(f"__{c}") / F.col("__w")).cast("float") for c in "xyz"}
+    e = {c: C.num(F.col(c)) - F.col(f"r{c}") for c in "xyz"}
+    opacity = F.when(one, F.col("__opacity1")).otherwise(C.clamp(F.col("__o") / F.col("__w"), 0.0, 1.0).cast("float"))
+    table = table.withColumns({**mean, "opacity": opacity, "sh": F.array(*[(F.col(f"__sh{k}") / F.col("__w")).cast("float") for k in range(n_sh)])})
+    moved = {p: F.col(p) / F.col("__w") - (e[p[0]] * F.col(f"__u{p[1]}") + F.col(f"__u{p[0]}") * e[p[1]]) / F.col("__w") + e[p[0]] * e[p[1]] for p in own}
 
     @F.pandas_udf("s0 float, s1 float, s2 float, qx float, qy float, qz float, qw float")
     def shape(xx: pd.Series, xy: pd.Series, xz: pd.Series, yy: pd.Series, yz: pd.Series, zz: pd.Series) -> pd.DataFrame:
         m = np.stack([np.stack([np.maximum(xx, 1e-20), xy, xz], 1), np.stack([xy, np.maximum(yy, 1e-20), yz], 1), np.stack([xz, yz, np.maximum(zz, 1e-20)], 1)], 1)
+        odd = ~np.isfinite(m).all((1, 2))
+        m[odd] = np.eye(3)
         scale, quat = eigen_to_scale_quat(m)
-        return pd.DataFrame(np.concatenate([scale, quat], 1).astype(np.float32), columns=["s0", "s1", "s2", "qx", "qy", "qz", "qw"])
+        scale[odd] = np.nan
+        return pd.DataFrame(np.concatenate([scale, quat], 1).astype(np.float32), columns=list(shape_of))
 
-    made = table.withColumn("__f", shape(*own))
-    return made.select("node", "slot", "members", *[F.col(f"__f.{c}") if c in ("s0", "s1", "s2", "qx", "qy", "qz", "qw") else F.col(c) for c in C.CORE], "sh")
+    made = table.withColumn("__f", shape(*moved.values()))
+    return made.select("node", "slot", "members", *[F.when(one, F.col(f"__{c}1")).otherwise(F.col(f"__f.{c}")).alias(c) if c in shape_of else F.col(c) for c in C.CORE], "sh")
 
 
-def simplify(rows: DataFrame, tiles: list[dict], mode: str = "merge", n_sh: int = 3, keep=lambda df: df) -> tuple[DataFrame, DataFrame]:
+def simplify(rows: DataFrame, tiles: list[dict], mode: str = "merge", n_sh: int = 3, keep=None) -> tuple[DataFrame, DataFrame]:
     """Rows of tiles over their target become ``target`` rows with slots; and own_error per tile.
 
-    tiles: dicts of node, target, low, ext.  keep() writes a table that is used more than once.
+    tiles: dicts of node, target, low, ext.  rows are read several times; keep() writes a table and reads it back.
     """
+    keep = keep or Tables(rows.sparkSession, "lod")
     grid, _ = fit_grid(rows, tiles)
-    at = keep(with_voxel(rows, grid))
-    kept = keep(select(at))
+    at = with_voxel(rows.select("node", "o1", "o2", *C.CORE), grid)
+    kept = select(at, keep)
     assigned = keep(assign(at, kept))
-    as_is = kept.select("node", "slot", *C.CORE, "sh", "radius")
+    stay = kept.select("node", "o1", "o2", "slot")
     if mode == "merge":
-        one = assigned.withColumn("members", F.count(F.lit(1)).over(Window.partitionBy("node", "slot")))
-        made = merged(one.filter("members > 1"), n_sh).select("node", "slot", *C.CORE, "sh")
-        single = one.filter("members = 1").select("node", "slot", *C.CORE, "sh")
-        taken = made.unionByName(single)
-        empty = as_is.drop("radius").join(one.select("node", "slot").distinct(), ["node", "slot"], "left_anti")
-        out = keep(taken.unionByName(empty).withColumn("radius", C.radius().cast("float")))
-    else:
-        out = as_is
-    return out, own_error(assigned, out)
-
-
-def own_error(assigned: DataFrame, out: DataFrame) -> DataFrame:
+        stay = stay.join(assigned.select("node", "slot").distinct(), ["node", "slot"], "left_anti")
+    out = rows.join(stay, ["node", "o1", "o2"]).select("node", "slot", *C.CORE, "sh")
+    if mode == "merge":
+        out = out.unionByName(merged(rows, assigned, n_sh).drop("members"))
+    out = keep(out.withColumn("radius", C.radius().cast("float")))
+    return out, own_error(assigned, out, keep)
+
+
+def own_error(assigned: DataFrame, out: DataFrame, keep=None) -> DataFrame:
     """The exact 95th percentile, by tile, of how far a row's 3-sigma ball reaches from its output's."""
     o = out.select("node", "slot", *[C.num(c).alias(f"t{c}") for c in "xyz"], C.num("radius").alias("tr"))
     d = [C.num(c) - F.col(f"t{c}") for c in "xyz"]
     error = F.sqrt(d[0] * d[0] + d[1] * d[1] + d[2] * d[2]) + C.num("radius") + F.col("tr")
-    return assigned.join(o, ["node", "slot"]).select("node", error.alias("e")).groupBy("node").agg(F.expr("percentile(e, 0.95)").alias("own_error"))
+    far = assigned.join(o, ["node", "slot"]).select("node", error.alias("e"))
+    far = place(far, [F.col("e")], keep or Tables(out.sparkSession, "lod"))
+    at = 0.95 * (F.col("total") - 1)
+    near = far.filter((F.col("slot") == F.floor(at)) | (F.col("slot") == F.ceil(at))).groupBy("node", "total").agg(F.min("e").alias("lo"), F.max("e").alias("hi"))
+    return near.select("node", (F.col("lo") + (F.col("hi") - F.col("lo")) * (at - F.floor(at))).alias("own_error"))

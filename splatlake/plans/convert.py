@@ -19,7 +19,7 @@ from ..functions import canonical as C
 from ..functions import frames
 from ..operators import encode as E
 from ..operators import kdtree, lod
-from ..streaming.checkpoint import Manifest, fingerprint, shared_dir
+from ..streaming.checkpoint import Manifest, Tables, fingerprint, shared_dir
 from . import tileset as T
 from .options import ConversionError, TilingOptions, apportion, depth_target, geometric_error, root_error
 
@@ -31,7 +31,7 @@ class Build:
         self.splats, self.given, self.timings = splats, given, {}
         self.spark = splats.sparkSession
         self._ready()
-        self._store = store or self._checkpointed
+        self._store = store or Tables(self.spark, "build")
         began = time.time()
         weight = [C.split_weight().alias("weight")] if given.oriented_bounding_boxes else []
         positions = splats.select("splat_id", "x", "y", "z", *weight).persist()
@@ -66,10 +66,6 @@ class Build:
         if context._jsc.sc().getCheckpointDir().isEmpty():
             context.setCheckpointDir(shared_dir(self.spark))
 
-    @staticmethod
-    def _checkpointed(df: DataFrame) -> DataFrame:
-        return df.checkpoint()
-
     def _targets(self) -> dict[int, int]:
         """Rows that each node keeps: by depth, and for nodes below a virtual one, their share of its target."""
         p, rate, out = self.partition, self.options.sampling_rate_per_level, {}
@@ -112,31 +108,34 @@ class Build:
             parts = []
             if leaves:
                 ids = self.spark.createDataFrame([(n.id,) for n in leaves], "node int")
-                parts.append(self.leaves.join(F.broadcast(ids), "node").select("node", F.lit(0).cast("long").alias("o1"), F.col("splat_id").alias("o2"), *C.CORE, "sh"))
+                parts.append(self.leaves.join(lod.sized(ids, len(leaves)), "node").select("node", F.lit(0).cast("long").alias("o1"), F.col("splat_id").alias("o2"), *C.CORE, "sh"))
             if handoff is not None:
-                up = self.spark.createDataFrame([(c, *ranks[c]) for c in sizes if c in ranks], "node int, up int, o1 long")
-                parts.append(handoff.join(F.broadcast(up), "node").select(F.col("up").alias("node"), "o1", F.col("slot").alias("o2"), *C.CORE, "sh"))
-            rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+                up = [(c, *ranks[c]) for c in sizes if c in ranks]
+                table = self.spark.createDataFrame(up, "node int, up int, o1 long")
+                parts.append(handoff.join(lod.sized(table, len(up)), "node").select(F.col("up").alias("node"), "o1", F.col("slot").alias("o2"), *C.CORE, "sh"))
+            rows = (parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])).select(*columns)
             count = {n.id: n.count if n.leaf else sum(sizes[c.id] for c in p.handoff_order(n)) for n in level}
             self.rows_in.update(count)
             thin = [n for n in level if not n.leaf and count[n.id] > self.targets[n.id]]
-            rows = self._store(rows.select(*columns)) if thin else rows
-            plain = rows
-            outs = []
-            if thin:
-                some = self.spark.createDataFrame([(n.id,) for n in thin], "node int")
-                plain = rows.join(F.broadcast(some), "node", "left_anti")
+            whole = len(thin) < len(level)
+            if not thin:
+                handoff = lod.place(rows, ["o1", "o2"], self._store).select("node", "slot", *C.CORE, "sh")
+            else:
+                before = len(getattr(self._store, "paths", ()))
+                rows = self._store(rows)
+                some = lod.sized(self.spark.createDataFrame([(n.id,) for n in thin], "node int"), len(thin))
                 wanted = [{"node": n.id, "target": self.targets[n.id], "low": n.low, "ext": n.extent} for n in thin]
-                out, errors = lod.simplify(rows.join(F.broadcast(some), "node"), wanted, self.options.sample_mode, n_sh, self._store)
+                out, errors = lod.simplify(rows.join(some, "node") if whole else rows, wanted, self.options.sample_mode, n_sh, self._store)
                 self.own.update({r.node: r.own_error for r in errors.collect()})
-                outs.append(out.select("node", "slot", *C.CORE, "sh"))
-            if len(thin) < len(level):
-                from pyspark.sql import Window
-
-                slot = F.row_number().over(Window.partitionBy("node").orderBy("o1", "o2")) - 1
-                outs.append(plain.withColumn("slot", slot.cast("long")).select("node", "slot", *C.CORE, "sh"))
-            handoff = self._store(outs[0] if len(outs) == 1 else outs[0].unionByName(outs[1]))
-            sizes = {n.id: self.targets[n.id] if n in thin else count[n.id] for n in level}
+                handoff = out
+                if whole:
+                    plain = lod.place(rows.join(some, "node", "left_anti"), ["o1", "o2"], self._store)
+                    handoff = self._store(out.drop("radius").unionByName(plain.select("node", "slot", *C.CORE, "sh")))
+                if isinstance(self._store, Tables):
+                    self._store.drop(before, handoff)
+                handoff = handoff.select("node", "slot", *C.CORE, "sh")
+            thinned = {n.id for n in thin}
+            sizes = {n.id: self.targets[n.id] if n.id in thinned else count[n.id] for n in level}
             kept.append(handoff)
             self.kept_rows = {**getattr(self, "kept_rows", {}), **sizes}
         self.handoffs = kept
@@ -169,7 +168,7 @@ class Build:
             centres[n.id] = (centre, n.key)
         packed = E.packets(self.rows(), centres, self.options, frame)
         names = self.spark.createDataFrame([(n.id, n.uri) for n in self.partition.tree() if not n.virtual], "node int, uri string")
-        return packed.join(F.broadcast(names), "node")
+        return packed.join(lod.sized(names, len(self.partition.nodes)), "node")
 
 
 def write_tiles(tiles: DataFrame, folder: str) -> None:

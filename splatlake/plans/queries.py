@@ -263,12 +263,16 @@ def root_refine_topk(spark, sf_dir):
 # Level of detail over one tile: a fixed grid, KEPT rows.
 
 
+def _rows(spark, sf_dir) -> DataFrame:
+    return cloud0(spark, sf_dir).withColumn("node", F.lit(0)).withColumn("o1", F.lit(0).cast("long")).withColumn("o2", F.col("splat_id"))
+
+
 def _tile(spark, sf_dir) -> DataFrame:
-    rows = cloud0(spark, sf_dir).withColumn("node", F.lit(0)).withColumn("o1", F.lit(0).cast("long")).withColumn("o2", F.col("splat_id"))
+    rows = _rows(spark, sf_dir)
     b = rows.groupBy("node").agg(*[F.min(C.num(c)).alias(f"low_{c}") for c in "xyz"], *[(F.max(C.num(c)) - F.min(C.num(c))).alias(f"ext_{c}") for c in "xyz"])
     diag = F.sqrt(sum((F.col(f"ext_{c}") * F.col(f"ext_{c}") for c in "yz"), F.col("ext_x") * F.col("ext_x"))) / float(GRID)
     grid = b.select("*", *[F.lit(GRID).cast("long").alias(f"d{k}") for k in range(3)], diag.alias("diag"), F.lit(KEPT).cast("long").alias("target"))
-    return lod.with_voxel(rows, grid)
+    return lod.with_voxel(rows, F.broadcast(grid))
 
 
 def voxel_assign(spark, sf_dir):
@@ -280,15 +284,15 @@ def voxel_occupancy(spark, sf_dir):
 
 
 def voxel_representative(spark, sf_dir):
-    return lod.representatives(_tile(spark, sf_dir)).filter("rank = 1").select("voxel", "splat_id")
+    return lod.representatives(_tile(spark, sf_dir)).filter("rank = 1").select("voxel", F.col("o2").alias("splat_id"))
 
 
 def extra_candidates(spark, sf_dir):
-    return lod.representatives(_tile(spark, sf_dir)).filter("rank = 2").select("voxel", "splat_id")
+    return lod.representatives(_tile(spark, sf_dir)).filter("rank = 2").select("voxel", F.col("o2").alias("splat_id"))
 
 
 def fill_leftover(spark, sf_dir):
-    return lod.select(_tile(spark, sf_dir)).select("slot", "splat_id", F.least("rank", F.lit(3)).alias("stage"))
+    return lod.select(_tile(spark, sf_dir)).select("slot", F.col("o2").alias("splat_id"), F.col("rank").alias("stage"))
 
 
 def _assigned(spark, sf_dir) -> DataFrame:
@@ -297,17 +301,17 @@ def _assigned(spark, sf_dir) -> DataFrame:
 
 
 def nearest_rep_assign(spark, sf_dir):
-    return _assigned(spark, sf_dir).select("splat_id", "slot")
+    return _assigned(spark, sf_dir).select(F.col("o2").alias("splat_id"), "slot")
 
 
 def merge_weighted_mean(spark, sf_dir):
-    m = lod.merged(_assigned(spark, sf_dir), 3)
+    m = lod.merged(_rows(spark, sf_dir), _assigned(spark, sf_dir), 3)
     return m.select("slot", "members", *[(F.round(C.num(c), 2) + 0.0).alias(c) for c in "xyz"], F.round(C.num("opacity"), 4).alias("opacity"), *[(F.round(C.num(F.col("sh")[k]), 4) + 0.0).alias(f"sh{k}") for k in range(3)])
 
 
 def merge_covariance(spark, sf_dir):
     """The covariance that every merged splat's scale and rotation stand for: its trace, and all six terms as shares of it."""
-    m = lod.merged(_assigned(spark, sf_dir), 3)
+    m = lod.merged(_rows(spark, sf_dir), _assigned(spark, sf_dir), 3)
     c = C.covariance()
     trace = c[0] + c[3] + c[5]
     return m.select("slot", F.round(F.log10(trace), 3).alias("log_trace"), *[(F.round(v / trace, 3) + 0.0).alias(n) for v, n in zip(c, ("xx", "xy", "xz", "yy", "yz", "zz"))])

@@ -6,8 +6,11 @@ import hashlib
 import json
 import os
 import tempfile
+import uuid
 from dataclasses import asdict
 
+from pyspark.sql import DataFrame, SparkSession
+
 # Options that do not change the written stages.
 FREE = ("transform", "coordinate", "memory_budget", "clean", "self_test", "self_test_count", "spz_compression_level")
 STAGES = ("scanned", "partitioned", "built", "done")
@@ -64,3 +67,26 @@ def shared_dir(spark) -> str:
         found = "file://" + tempfile.mkdtemp(prefix="splatlake-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
+
+
+class Tables:
+    """Writes tables as Parquet under the shared folder and reads them back: lineage ends there, lost executors cost nothing,
+    and later scans read only the columns they need."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.root, self.paths = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", []
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        path = f"{self.root}/{len(self.paths)}"
+        self.paths.append(path)
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        out.written_at = path
+        return out
+
+    def drop(self, first: int, but: DataFrame) -> None:
+        """Deletes the tables from the ``first``-th on, except one; nothing may read them any more."""
+        for path in self.paths[first:]:
+            if path != but.written_at:
+                at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+                at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)

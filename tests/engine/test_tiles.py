@@ -12,6 +12,7 @@ from splatlake.plans.convert import Build, convert
 from splatlake.plans.options import TilingOptions
 from splatlake.sources.ply import write_ply
 from splatlake.sources.synthetic import cloud
+from splatlake.streaming.checkpoint import Manifest, Tables
 
 
 @pytest.fixture(scope="module")
@@ -192,3 +193,54 @@ def test_convert_and_restart(spark, tmp_path, splats):
     assert all(os.path.getsize(f"{out}/{f}") > 0 for f in files(doc["root"]))
     again = convert(spark, path, out, clean=False, **options)
     assert json.load(open(f"{out}/tileset.json")) == doc and not again["diagnostics"]["checkpoint"]["reused"]
+
+
+def test_place(spark):
+    """Places of rows in nodes that span partitions and partitions that span nodes, with equal first keys."""
+    rng = np.random.default_rng(1)
+    rows = [(int(n), int(v), k) for k, (n, v) in enumerate(zip(np.where(rng.random(3000) < 0.6, 0, rng.integers(1, 40, 3000)), rng.integers(0, 4, 3000)))]
+    at = lod.place(spark.createDataFrame(rows, "node int, v int, o long").repartition(7), [-F.col("v"), F.col("o")], Tables(spark, "test"))
+    got = {(r.node, r.v, r.o): (r.slot, r.total) for r in at.collect()}
+    for node in {r[0] for r in rows}:
+        own = sorted((r for r in rows if r[0] == node), key=lambda r: (-r[1], r[2]))
+        assert [got[r] for r in own] == [(k, len(own)) for k in range(len(own))]
+    assert lod.place(spark.createDataFrame([], "node int, o long"), [F.col("o")], Tables(spark, "test")).count() == 0
+
+
+def test_tables_of_the_roll_up_are_deleted(spark, splats):
+    store = Tables(spark, "dropped")
+    build = Build(splats, TilingOptions(max_depth=2, leaf_limit=150, tile_refinement=1), store)
+    left = [p for p in store.paths if os.path.exists(p.removeprefix("file:"))]
+    assert len(left) < len(store.paths) / 2 and build.rows().count() == sum(build.kept_rows.values())
+
+
+def test_interrupted_conversion_goes_on(spark, tmp_path, splats, monkeypatch):
+    path, out, whole = str(tmp_path / "a.ply"), str(tmp_path / "tiles"), str(tmp_path / "whole")
+    write_ply(path, splats.orderBy("splat_id").toArrow())
+    options = {"maxDepth": 2, "leafLimit": 300, "tileRefinement": 1}
+    convert(spark, path, whole, **options)
+    put, seen = Manifest.put, []
+
+    def breaks(self, stage, value):
+        put(self, stage, value)
+        seen.append(stage)
+        if len(seen) == 5:
+            raise RuntimeError("lost")
+
+    monkeypatch.setattr(Manifest, "put", breaks)
+    with pytest.raises(RuntimeError, match="lost"):
+        convert(spark, path, out, **options)
+    monkeypatch.setattr(Manifest, "put", put)
+    began = {s: os.stat(f"{out}/.stages/{s}").st_mtime_ns for s in seen}
+    kept, drop = {}, convert.__globals__["write_tiles"]
+
+    def look(tiles, folder):
+        kept.update({s: os.stat(f"{out}/.stages/{s}").st_mtime_ns for s in seen})
+        drop(tiles, folder)
+
+    monkeypatch.setitem(convert.__globals__, "write_tiles", look)
+    summary = convert(spark, path, out, clean=False, **options)
+    assert summary["diagnostics"]["checkpoint"]["reused"] and kept == began
+    assert json.load(open(f"{out}/tileset.json")) == json.load(open(f"{whole}/tileset.json"))
+    names = sorted(os.path.relpath(os.path.join(d, f), whole) for d, _, fs in os.walk(whole) for f in fs if f.endswith(".glb"))
+    assert len(names) > 3 and all(open(f"{out}/{n}", "rb").read() == open(f"{whole}/{n}", "rb").read() for n in names)
