@@ -14,7 +14,8 @@ Scores: ``log_prob`` (natural logarithm, summed over the words), ``score`` (its
 did not get the full order).  Null, empty or wordless texts have 0 words, log_prob 0 and a null score.  Words are runs of
 anything but ASCII white space, A-Z lower-cased.  Repeated rows count and score like any other.  Texts of any length are
 read whole; an empty table gives no row; other columns are ignored, whatever their names.  The rows between the two stages
-are chunks times ranges.
+are at most chunks times ranges, and at most one per distinct n-gram of a chunk.  Chunks are read twice; answers carry a
+mark of the n-grams they belong to, so a source that deals its rows differently the second time is an error, never a wrong score.
 """
 
 from __future__ import annotations
@@ -83,6 +84,11 @@ def large(data: bytes, n: int) -> np.ndarray:
     return out
 
 
+def mark(keys: np.ndarray) -> int:
+    """Of a set of hashes, to tell whether two reads of a chunk saw the same n-grams."""
+    return int(np.bitwise_xor.reduce(keys, initial=np.uint64(len(keys))).view(np.int64))
+
+
 def requests(source: DataFrame, order: int, bits: int, chunk_bytes: int) -> DataFrame:
     def each(batches):
         for chunk, _, text in _chunks(batches, chunk_bytes):
@@ -90,9 +96,9 @@ def requests(source: DataFrame, order: int, bits: int, chunk_bytes: int) -> Data
             keys, counts = np.unique(np.concatenate([k for k, _ in _keys(w, order)]), return_counts=True)
             edge = np.searchsorted((keys >> np.uint64(64 - bits)).astype(np.int64), np.arange((1 << bits) + 1))
             rows = [(r, int(a), int(b)) for r, (a, b) in enumerate(zip(edge, edge[1:])) if b > a]
-            yield pa.RecordBatch.from_arrays([pa.array([r for r, _, _ in rows], pa.int32()), pa.array([chunk] * len(rows), pa.int64()), pa.array([packed(keys[a:b]) for _, a, b in rows], pa.binary()), pa.array([small(counts[a:b]) for _, a, b in rows], pa.binary()), pa.array([int(w.count.sum()) if k == 0 else 0 for k in range(len(rows))], pa.int64())], names=["range", "chunk", "keys", "counts", "words"])
+            yield pa.RecordBatch.from_arrays([pa.array([r for r, _, _ in rows], pa.int32()), pa.array([chunk] * len(rows), pa.int64()), pa.array([packed(keys[a:b]) for _, a, b in rows], pa.binary()), pa.array([small(counts[a:b]) for _, a, b in rows], pa.binary()), pa.array([int(w.count.sum()) if k == 0 else 0 for k in range(len(rows))], pa.int64()), pa.array([mark(keys)] * len(rows), pa.int64())], names=["range", "chunk", "keys", "counts", "words", "mark"])
 
-    return source.mapInArrow(each, "range int, chunk long, keys binary, counts binary, words long")
+    return source.mapInArrow(each, "range int, chunk long, keys binary, counts binary, words long, mark long")
 
 
 def _answer(table: pa.Table) -> pa.Table:
@@ -107,7 +113,7 @@ def _answer(table: pa.Table) -> pa.Table:
     back = np.empty(len(keys), np.int64)
     back[order] = np.repeat(total, np.diff(np.append(start, len(keys))))
     edge = np.concatenate([[0], np.cumsum(size)])
-    return pa.Table.from_arrays([table.column("range"), table.column("chunk"), pa.chunked_array([pa.array([small(back[a:b]) for a, b in zip(edge, edge[1:])], pa.binary())]), pa.chunked_array([pa.array(size, pa.int64())]), table.column("words")], names=["range", "chunk", "totals", "n", "words"])
+    return pa.Table.from_arrays([table.column("range"), table.column("chunk"), pa.chunked_array([pa.array([small(back[a:b]) for a, b in zip(edge, edge[1:])], pa.binary())]), pa.chunked_array([pa.array(size, pa.int64())]), table.column("words"), table.column("mark")], names=["range", "chunk", "totals", "n", "words", "mark"])
 
 
 def positions(ends: list[np.ndarray], counts: list[np.ndarray], n_words: int, corpus_words: int, least: int, factor: float) -> tuple[np.ndarray, np.ndarray]:
@@ -137,7 +143,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
     # The number of hash ranges follows the text: about an entry of 8 bytes for six bytes of text and each order.
     size = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = max(5, int(np.ceil(np.log2(max(1, size * order * 1.5 / range_bytes)))))
-    answers = work.keep(requests(source, order, bits, chunk_bytes).groupBy("range").applyInArrow(_answer, "range int, chunk long, totals binary, n long, words long"))
+    answers = work.keep(requests(source, order, bits, chunk_bytes).groupBy("range").applyInArrow(_answer, "range int, chunk long, totals binary, n long, words long, mark long"))
     corpus_words = answers.agg(F.sum("words")).first()[0] or 0
 
     def texts(batches):
@@ -157,7 +163,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
             unique, place = np.unique(np.concatenate([k for k, _ in keys]), return_inverse=True)
             by = right.sort_by("range")
             totals = np.concatenate([np.zeros(0, np.int64), *(large(x.as_py(), n) for x, n in zip(by.column("totals"), by.column("n").to_pylist()))])
-            if len(totals) != len(unique):
+            if len(totals) != len(unique) or any(m != mark(unique) for m in by.column("mark").unique().to_pylist()):
                 raise RuntimeError("a chunk's texts differ between two reads of the documents")
             found = np.split(totals[place], np.cumsum([len(k) for k, _ in keys])[:-1])
             logs, backed = positions([at for _, at in keys], found, int(w.count.sum()), corpus_words, least, factor)

@@ -1,9 +1,11 @@
 """The operators against plain versions, on a small table with every odd case."""
 
+import os
 import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import brute
@@ -463,6 +465,19 @@ def test_stupid_backoff(docs, rows, empty):
     assert ngram_lm.score(empty).count() == 0
 
 
+def test_scores_need_the_same_chunks_twice(spark):
+    a = np.array([3, 9, 11], np.uint64)
+    assert ngram_lm.mark(a) == ngram_lm.mark(a[::-1]) and len({ngram_lm.mark(x) for x in (a, a[:2], a + np.uint64(1), a[:0])}) == 4
+
+    def other(batches):  # a source that gives as many, but other, words at each read
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"doc_id": b.column(0), "text": pa.array([os.urandom(8).hex() for _ in range(b.num_rows)])})
+
+    moving = spark.range(64).mapInArrow(other, "doc_id long, text string")
+    with pytest.raises(Exception, match="differ between two reads"):
+        ngram_lm.score(moving).collect()
+
+
 def test_passages(docs, rows, empty):
     want = brute.repeated(rows)
     got = {r.doc_id: r for r in passages.find(docs, block_windows=1000).collect()}
