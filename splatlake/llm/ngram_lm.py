@@ -104,14 +104,17 @@ def requests(source: DataFrame, order: int, bits: int, chunk_bytes: int) -> Data
 def _answer(table: pa.Table) -> pa.Table:
     keys = [unpacked(x.as_py()) for x in table.column("keys")]
     size = [len(k) for k in keys]
-    counts = np.concatenate([large(x.as_py(), n) for x, n in zip(table.column("counts"), size)])
     keys = np.concatenate(keys)
     order = np.argsort(keys)
-    ordered = keys[order]
-    start = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+    keys = keys[order]
+    start = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    n_keys = len(keys)
+    del keys
+    counts = np.concatenate([large(x.as_py(), n) for x, n in zip(table.column("counts"), size)])
     total = np.add.reduceat(counts[order], start)
-    back = np.empty(len(keys), np.int64)
-    back[order] = np.repeat(total, np.diff(np.append(start, len(keys))))
+    back = counts
+    back[order] = np.repeat(total, np.diff(np.append(start, n_keys)))
+    del order, start, total
     edge = np.concatenate([[0], np.cumsum(size)])
     return pa.Table.from_arrays([table.column("range"), table.column("chunk"), pa.chunked_array([pa.array([small(back[a:b]) for a, b in zip(edge, edge[1:])], pa.binary())]), pa.chunked_array([pa.array(size, pa.int64())]), table.column("words"), table.column("mark")], names=["range", "chunk", "totals", "n", "words", "mark"])
 
@@ -160,13 +163,16 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
             table = pa.ipc.open_stream(packed.as_buffer()).read_all().combine_chunks()
             w = _words(table.column("text"))
             keys = _keys(w, order)
-            unique, place = np.unique(np.concatenate([k for k, _ in keys]), return_inverse=True)
+            ends, joined = [at for _, at in keys], np.concatenate([k for k, _ in keys])
+            del keys
+            unique, place = np.unique(joined, return_inverse=True)
+            del joined
             by = right.sort_by("range")
             totals = np.concatenate([np.zeros(0, np.int64), *(large(x.as_py(), n) for x, n in zip(by.column("totals"), by.column("n").to_pylist()))])
             if len(totals) != len(unique) or any(m != mark(unique) for m in by.column("mark").unique().to_pylist()):
                 raise RuntimeError("a chunk's texts differ between two reads of the documents")
-            found = np.split(totals[place], np.cumsum([len(k) for k, _ in keys])[:-1])
-            logs, backed = positions([at for _, at in keys], found, int(w.count.sum()), corpus_words, least, factor)
+            found = np.split(totals[place], np.cumsum([len(at) for at in ends])[:-1])
+            logs, backed = positions(ends, found, int(w.count.sum()), corpus_words, least, factor)
             lp = np.array([logs[a:b].sum() for a, b in zip(w.first, w.first[1:])])
             turned = np.concatenate([[0], np.cumsum(backed)])
             n = w.count
