@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import canonical as C
 from ..functions import spz
 from ..operators import lod
-from ..streaming.checkpoint import shared_dir
+from ..streaming.checkpoint import Tables, shared_dir
 from .options import TilingOptions, apportion, auto_max_depth, auto_tile_refinement, depth_target, enu_matrix, geometric_error
 
 GRID, KEPT = 5, 200
@@ -327,7 +327,8 @@ def own_error_p95(spark, sf_dir):
 def handoff_union(spark, sf_dir):
     """Rows of a parent: its children's rows, by child and slot, numbered."""
     at = _routed(spark, sf_dir).filter("length(path) >= 2").withColumn("parent", F.substring("path", 1, 1))
-    return at.select("splat_id", "parent", (F.row_number().over(Window.partitionBy("parent").orderBy("path", "splat_id")) - 1).alias("row"))
+    placed = lod.place(at.select("splat_id", "path", "parent", F.col("parent").cast("int").alias("node")), [F.col("path"), F.col("splat_id")], Tables(spark, "handoff"))
+    return placed.select("splat_id", "parent", F.col("slot").cast("int").alias("row"))
 
 
 def emitted_children(spark, sf_dir):
