@@ -679,3 +679,60 @@ def test_passages_recall_in_large_groups(spark):
     recall = sum(map(whole, linked)) / len(linked)
     print("RECALL", recall, len(linked))
     assert recall >= 0.97
+
+
+def test_passages_meet_in_groups():
+    """Every word of a passage of any pair is found, and every pair is linked through others, in groups of edited copies."""
+    rng = np.random.default_rng(5)
+    draw = lambda n: rng.integers(1, 1 << 39, n).astype(np.uint64)
+    base, texts = draw(120), []
+    for _ in range(60):
+        v = base.copy()
+        for at in rng.integers(0, 116, rng.integers(0, 5)):
+            v[at : at + 5] = draw(5)
+        texts.append(np.concatenate([draw(rng.integers(0, 80)), v[rng.integers(0, 40) : rng.integers(70, 121)], draw(rng.integers(0, 80))]))
+    texts += [draw(9), texts[0][:60], texts[1].copy()]
+    got, want, links, found = ([set() for _ in texts] for _ in range(4))
+    for a in range(len(texts)):
+        for b in range(a):
+            for i, j, p, q in passages.verify(texts[a], texts[b], 46):
+                want[a].update(range(i, j + passages.WORDS))
+                want[b].update(range(p, q + passages.WORDS))
+                links[a].add(b)
+                links[b].add(a)
+    for nodes, partners, starts, ends in passages.meet(np.arange(len(texts)), np.zeros(len(texts), int), texts, 46):
+        for a, b, i, j in zip(*(x.tolist() for x in (nodes, partners, starts, ends))):
+            got[a].update(range(i, j))
+            found[a].add(b)
+            found[b].add(a)
+
+    def reached(of, a):
+        seen, todo = {a}, [a]
+        while todo:
+            todo = [y for x in todo for y in of[x] if y not in seen and not seen.add(y)]
+        return seen
+
+    assert got == want and sum(map(len, want)) > 1000
+    assert [reached(found, a) for a in range(len(texts))] == [reached(links, a) for a in range(len(texts))]
+
+
+def test_passages_partners_far_apart_in_a_group(spark):
+    """Pairs of edited passages around a line that all have: each has one partner among hundreds of windows of a min-hash."""
+    rng = random.Random(47)
+    bag = vocabulary(rng, 6000)
+    text = lambda n: [rng.choice(bag) for _ in range(n)]
+    stock, made, own = text(42), [], []
+    for _ in range(150):
+        passage = text(14) + stock + text(14)
+        near = list(passage)
+        near[rng.randint(30, 40)] = rng.choice(bag)  # no verbatim run of 50 words
+        for w in (passage, near):
+            lead = rng.randint(20, 60)
+            own.append((lead, len(w)))
+            made.append(text(lead) + w + text(rng.randint(20, 60)))
+    table = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(made)], "doc_id long, text string").repartition(6)
+    for cell in (passages.CELL, 8000):
+        got = {r.doc_id: r for r in passages.find(table, cell=cell).collect()}
+        whole = [got[i].dup_words >= n - 2 for i, (_, n) in enumerate(own)]
+        print("WHOLE", cell, sum(whole))
+        assert sum(whole) >= 0.99 * len(own)
