@@ -716,6 +716,59 @@ def test_passages_meet_in_groups():
     assert [reached(found, a) for a in range(len(texts))] == [reached(links, a) for a in range(len(texts))]
 
 
+def test_passages_meet_without_a_comparison_a_pair(monkeypatch):
+    """Copies of one passage with edits, no token twice: runs come from common places, not from a call a pair, and are whole."""
+    rng = np.random.default_rng(9)
+    draw = lambda n: rng.integers(1, 1 << 39, n).astype(np.uint64)
+    base, texts = draw(150), []
+    for _ in range(200):
+        v = base.copy()
+        for at in rng.integers(0, 146, rng.integers(0, 7)):
+            v[at : at + 5] = draw(5)
+        texts.append(v)
+    # Every run that holds, by brute force over starts and ends.
+    want = [np.zeros(150 + passages.WORDS - 1, bool) for _ in texts]
+    for a in range(len(texts)):
+        for b in range(a):
+            total = np.concatenate([[0], np.cumsum(texts[a] == texts[b])])
+            same = np.flatnonzero(texts[a] == texts[b])
+            i, j = np.meshgrid(same, same, indexing="ij")
+            both, own = total[j + 1] - total[i], j - i + 1
+            ok = (own >= 46) & (100 * both >= 80 * (2 * own - both))
+            for x in np.flatnonzero(ok.any(1)):
+                y = same[np.flatnonzero(ok[x])[-1]]
+                for k in (a, b):
+                    want[k][same[x] : y + passages.WORDS] = True
+    calls, plain = [], passages.verify
+    monkeypatch.setattr(passages, "verify", lambda *x, **y: calls.append(1) or plain(*x, **y))
+    got = [np.zeros_like(v) for v in want]
+    for nodes, _, starts, ends in passages.meet(np.arange(len(texts)), np.zeros(len(texts), int), texts, 46):
+        for a, i, j in zip(*(x.tolist() for x in (nodes, starts, ends))):
+            got[a][i:j] = True
+    assert len(calls) < len(texts) / 10
+    assert all((g == w).all() for g, w in zip(got, want)) and sum(w.sum() for w in want) > 10000
+
+
+def test_passages_runs_that_begin_inside_another():
+    """A run that begins inside another one and reaches beyond it is found as well."""
+    a = np.arange(1, 129, dtype=np.uint64)
+    b = a.copy()
+    b[50:59] += np.uint64(1000)
+    b[112:119] += np.uint64(1000)
+    b[0:3] += np.uint64(1000)
+    covered = set()
+    for i, j, _, _ in passages.verify(a, b, 46):
+        covered.update(range(i, j + 1))
+    want = set()
+    same = np.flatnonzero(a == b)
+    for i in same:
+        for j in same[same >= i + 45]:
+            n = int(((same >= i) & (same <= j)).sum())
+            if 100 * n >= 80 * (2 * (j - i + 1) - n):
+                want.update(range(i, j + 1))
+    assert covered == want
+
+
 def test_passages_partners_far_apart_in_a_group(spark):
     """Pairs of edited passages around a line that all have: each has one partner among hundreds of windows of a min-hash."""
     rng = random.Random(47)
