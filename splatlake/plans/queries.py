@@ -380,21 +380,30 @@ def enu(spark, sf_dir):
 
 
 def _unpacked(cloud: DataFrame, schema: str, fields, centre=(0.0, 0.0, 0.0), sh_bits: int = 8) -> DataFrame:
-    """splat_id and what ``fields`` takes from the stored packet of each row."""
+    """splat_id and what ``fields`` takes from the stored packets of each batch's rows, in any order.
+
+    Rows too far from the centre for one packet go to packets of their own part of space.  A null position comes back as null.
+    """
 
     def each(batches):
         for b in batches:
             t = pa.Table.from_batches([b])
             cols = lambda *names: np.stack([t.column(c).to_numpy() for c in names], 1)
+            null = np.stack([t.column(c).is_null().to_numpy() for c in "xyz"], 1)
+            local = (cols("x", "y", "z").astype(np.float64) - centre).astype(np.float32)
+            opacity, scale, quat = t.column("opacity").to_numpy(), cols("s0", "s1", "s2"), cols("qx", "qy", "qz", "qw")
             sh = np.asarray(t.column("sh").combine_chunks().flatten()).reshape(t.num_rows, -1)
-            got = spz.unpack(spz.compress(spz.packet(cols("x", "y", "z"), t.column("opacity").to_numpy(), sh, cols("s0", "s1", "s2"), cols("qx", "qy", "qz", "qw"), list(centre), sh_bits, sh_bits)))
-            yield pa.RecordBatch.from_pydict({"splat_id": t.column("splat_id").combine_chunks(), **fields(got)})
+            local[null] = 0
+            for part, at in spz.parts(local):
+                got = spz.unpack(spz.compress(spz.packet(local[at], opacity[at], sh[at], scale[at], quat[at], part, sh_bits, sh_bits)))
+                got["xyz"] = np.ma.array(got["xyz"] + part, mask=null[at])
+                yield pa.RecordBatch.from_pydict({"splat_id": t.column("splat_id").combine_chunks().take(pa.array(at)), **fields(got)})
 
     return cloud.mapInArrow(each, "splat_id long, " + schema)
 
 
 def spz_position(spark, sf_dir):
-    fields = lambda got: {f"p{c}": pa.array(np.rint(got["xyz"][:, k] * 4096).astype(np.int64)) for k, c in enumerate("xyz")}
+    fields = lambda got: {f"p{c}": pa.array(np.rint(got["xyz"].data[:, k] * 4096).astype(np.int64), mask=got["xyz"].mask[:, k]) for k, c in enumerate("xyz")}
     return _unpacked(cloud0(spark, sf_dir), "px long, py long, pz long", fields, (75.0, 50.0, 15.0))
 
 
