@@ -7,7 +7,9 @@ since their tokens follow no lines.
 
 from __future__ import annotations
 
+import itertools
 import os
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -30,6 +32,7 @@ TYPES = {
 }
 MAX_HEADER = 8 << 20
 CHUNK_ROWS = 1 << 16
+COPY_BYTES = 4 << 20
 
 
 class PlyError(ValueError):
@@ -269,19 +272,73 @@ def write_ply(path: str, table: pa.Table) -> None:
         f.write(_head(table.num_rows, names) + data)
 
 
-def write_splats(splats: DataFrame, path: str) -> int:
-    """A binary file of the splats by id: executors encode, the driver passes one partition at a time on to the file."""
-    n, first = splats.count(), splats.limit(1).toArrow()
-    if not n:
-        raise PlyError("no splats")
+def write_splats(splats: DataFrame, path: str, in_place: bool | None = None) -> int:
+    """A binary file of the splats by id: executors write its parts and then put them together, no row passes the driver.
+
+    On a file system of the machines each part goes to its place by a task of its own (``in_place``); on others, which only
+    append, one task streams them.
+    """
+    folder = f"{path}.parts-{uuid.uuid4().hex}"
+    system, target = filesystem(path)
+    _, held = filesystem(folder)
+    in_place = isinstance(system, fs.LocalFileSystem) if in_place is None else in_place
+    system.create_dir(held)
 
     def encode(batches):
-        for b in batches:
-            yield pa.RecordBatch.from_pydict({"data": pa.array([encoded(pa.Table.from_batches([b]))[1]], pa.binary())})
+        from pyspark import TaskContext
+
+        # Every attempt has a file of its own; the one that succeeds names it.
+        name, n, seen = uuid.uuid4().hex, 0, set()
+        system, at = filesystem(folder)
+        with system.open_output_stream(f"{at}/{name}") as f:
+            for b in batches:
+                if b.num_rows:
+                    names, data = encoded(pa.Table.from_batches([b]))
+                    f.write(data)
+                    n += b.num_rows
+                    seen.add(" ".join(names))
+        if n:
+            yield pa.RecordBatch.from_pydict({"part": pa.array([TaskContext.get().partitionId()], pa.int32()), "file": pa.array([name]), "n": pa.array([n], pa.int64()), "names": pa.array([sorted(seen)], pa.list_(pa.string()))})
 
-    system, at = filesystem(path)
-    with system.open_output_stream(at) as f:
-        f.write(_head(n, encoded(first)[0]))
-        for r in splats.orderBy("splat_id").mapInArrow(encode, "data binary").toLocalIterator():
-            f.write(bytes(r.data))
-    return n
+    try:
+        parts = sorted(splats.select(*C.SPLAT).orderBy("splat_id").mapInArrow(encode, "part int, file string, n long, names array<string>").collect())
+        if not parts:
+            raise PlyError("no splats")
+        layouts = {x for r in parts for x in r.names}
+        if len(layouts) > 1:
+            raise PlyError("splats of different degrees")
+        names, files = layouts.pop().split(" "), [r.file for r in parts]
+        width = 4 * len(names)
+        n = sum(r.n for r in parts)
+        head = _head(n, names)
+        places = [len(head) + width * k for k in itertools.accumulate((r.n for r in parts), initial=0)]
+        whole = f"{path}.part"
+
+        def copy(name: str, out) -> None:
+            with opened(f"{folder}/{name}") as f:
+                while data := f.read(COPY_BYTES):
+                    out.write(data)
+
+        def put(row) -> None:
+            with open(filesystem(whole)[1], "r+b") as out:
+                out.seek(places[row.id])
+                copy(files[row.id], out)
+
+        def stream(_) -> None:
+            system, at = filesystem(path)
+            with system.open_output_stream(at) as out:
+                out.write(head)
+                for name in files:
+                    copy(name, out)
+
+        if in_place:
+            made = filesystem(whole)[1]
+            with system.open_output_stream(made) as f:
+                f.write(head)
+            splats.sparkSession.range(0, len(files), 1, len(files)).foreach(put)
+            system.move(made, target)
+        else:
+            splats.sparkSession.range(0, 1, 1, 1).foreach(stream)
+        return n
+    finally:
+        system.delete_dir(held)

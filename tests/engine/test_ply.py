@@ -80,3 +80,22 @@ def test_canonical_values(spark):
     assert [(r.qx, r.qy, r.qz, r.qw) for r in rows] == [(0, 0, 0, 1), (-0.5, -0.5, -0.5, 0.5), (0, 0, 0, 0)]
     assert rows[0].opacity == 0.5 and rows[0].s0 == np.float32(np.log(1e-8)) and rows[0].s1 == 0
     assert [r.e for r in C.canonicalise(raw).select(C.covariance()[0].alias("e")).collect()][2] == 1.0  # no rotation: identity
+
+
+@pytest.mark.parametrize("in_place", [None, False])
+def test_written_without_the_driver(spark, tmp_path, monkeypatch, in_place):
+    splats = cloud(spark, 3000).repartition(5, "x")
+    table = splats.orderBy("splat_id").toArrow()
+    ply.write_ply(str(tmp_path / "want.ply"), table)
+
+    def refuse(*_, **__):
+        raise AssertionError("rows go through the driver")
+
+    monkeypatch.setattr(type(splats), "toLocalIterator", refuse)
+    monkeypatch.setattr(type(splats), "toArrow", refuse)
+    assert ply.write_splats(splats, f"file://{tmp_path}/got.ply", in_place) == 3000
+    assert (tmp_path / "got.ply").read_bytes() == (tmp_path / "want.ply").read_bytes()
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["got.ply", "want.ply"]
+    with pytest.raises(ply.PlyError, match="no splats"):
+        ply.write_splats(splats.limit(0), str(tmp_path / "none.ply"))
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["got.ply", "want.ply"]
