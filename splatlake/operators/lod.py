@@ -20,6 +20,7 @@ from ..streaming.checkpoint import Tables
 from .kdtree import BROADCAST_ROWS
 
 MAX_REGRID = 24
+LOW_RANK = 0.94
 NARROW = ("node", "voxel", "o1", "o2", "x", "y", "z", "radius", "weight")
 
 
@@ -125,21 +126,31 @@ def representatives(at: DataFrame) -> DataFrame:
 def select(at: DataFrame, keep=None) -> DataFrame:
     """The rows that stay, with their slot: representatives by voxel, then second candidates by weight, then the rest by
     weight, radius and later row, to the tile's target."""
-    at = representatives(at)
+    keep = keep or Tables(at.sparkSession, "lod")
+    return chosen(keep(representatives(at)), keep)
+
+
+def chosen(ranked: DataFrame, keep) -> DataFrame:
+    """``select`` of stored representatives: a range partition reads its rows twice, for its bounds and to deal them."""
     key = F.when(F.col("rank") == 1, F.col("voxel").cast("double")).otherwise(-F.col("weight"))
     last = F.col("rank") > 2
     order = [F.col("rank"), key, F.when(last, -C.num("radius")), F.when(last, -F.col("o1")).otherwise(F.col("o1")), F.when(last, -F.col("o2")).otherwise(F.col("o2"))]
-    return place(at, order, keep or Tables(at.sparkSession, "lod")).filter("slot < target")
+    return place(ranked, order, keep).filter("slot < target")
 
 
 def assign(at: DataFrame, kept: DataFrame) -> DataFrame:
     """Each row's slot, and where its kept row lies: the one of its voxel with least distance plus radius, the first in row
-    order if equal."""
-    reps = kept.select("node", "voxel", "slot", *[C.num(c).alias(f"r{c}") for c in "xyz"], C.num("radius").alias("rr"), F.col("o1").alias("k1"), F.col("o2").alias("k2"))
-    d = [C.num(c) - F.col(f"r{c}") for c in "xyz"]
-    score = F.sqrt(d[0] * d[0] + d[1] * d[1] + d[2] * d[2]) + F.col("rr")
-    near = F.min_by(F.struct("slot", "rx", "ry", "rz"), F.struct(score.alias("s"), "k1", "k2"))
-    return at.select(*NARROW).join(reps, ["node", "voxel"]).groupBy(*NARROW).agg(near.alias("__r")).select(*NARROW, "__r.*")
+    order if equal.  A voxel's kept rows are one array, so that a row meets them where it is and pairs are not sorted."""
+    rep = F.struct("slot", *[C.num(c).alias(f"r{c}") for c in "xyz"], C.num("radius").alias("rr"), F.col("o1").alias("k1"), F.col("o2").alias("k2"))
+    reps = kept.groupBy("node", "voxel").agg(F.collect_list(rep).alias("__reps"))
+
+    def scored(r):
+        d = [C.num(c) - r[f"r{c}"] for c in "xyz"]
+        score = F.sqrt(d[0] * d[0] + d[1] * d[1] + d[2] * d[2]) + r["rr"]
+        return F.struct(score.alias("s"), r["k1"].alias("k1"), r["k2"].alias("k2"), *[r[c].alias(c) for c in ("slot", "rx", "ry", "rz")])
+
+    near = at.select(*NARROW).join(reps, ["node", "voxel"]).select(*NARROW, F.array_min(F.transform("__reps", scored)).alias("__r"))
+    return near.select(*NARROW, *[F.col(f"__r.{c}").alias(c) for c in ("slot", "rx", "ry", "rz")])
 
 
 def eigen_to_scale_quat(cov: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -200,8 +211,9 @@ def simplify(rows: DataFrame, tiles: list[dict], mode: str = "merge", n_sh: int
     keep = keep or Tables(rows.sparkSession, "lod")
     grid, _ = fit_grid(rows, tiles)
     at = with_voxel(rows.select("node", "o1", "o2", *C.CORE), grid)
-    kept = select(at, keep)
-    assigned = keep(assign(at, kept))
+    ranked = keep(representatives(at))
+    kept = chosen(ranked, keep)
+    assigned = keep(assign(ranked, kept))
     stay = kept.select("node", "o1", "o2", "slot")
     if mode == "merge":
         stay = stay.join(assigned.select("node", "slot").distinct(), ["node", "slot"], "left_anti")
@@ -217,8 +229,16 @@ def own_error(assigned: DataFrame, out: DataFrame, keep=None) -> DataFrame:
     o = out.select("node", "slot", *[C.num(c).alias(f"t{c}") for c in "xyz"], C.num("radius").alias("tr"))
     d = [C.num(c) - F.col(f"t{c}") for c in "xyz"]
     error = F.sqrt(d[0] * d[0] + d[1] * d[1] + d[2] * d[2]) + C.num("radius") + F.col("tr")
-    far = assigned.join(o, ["node", "slot"]).select("node", error.alias("e"))
-    far = place(far, [F.col("e")], keep or Tables(out.sparkSession, "lod"))
-    at = 0.95 * (F.col("total") - 1)
-    near = far.filter((F.col("slot") == F.floor(at)) | (F.col("slot") == F.ceil(at))).groupBy("node", "total").agg(F.min("e").alias("lo"), F.max("e").alias("hi"))
+    keep = keep or Tables(out.sparkSession, "lod")
+    far = keep(assigned.join(o, ["node", "slot"]).select("node", error.alias("e")))
+    # Rows under an estimate of a lower percentile are only counted; where it turns out too high, all rows are placed.
+    low = far.groupBy("node").agg(F.percentile_approx("e", LOW_RANK, 1000).alias("low"))
+    below = F.count_if(F.col("e").isNull() | (F.col("e") < F.col("low")))
+    counts = [(r.node, r.low, r.below, r.n) for r in far.join(low, "node").groupBy("node", "low").agg(below.alias("below"), F.count(F.lit(1)).alias("n")).collect()]
+    counts = [(node, low, below, n) if low is not None and below <= math.floor(0.95 * (n - 1)) else (node, None, 0, n) for node, low, below, n in counts]
+    bounds = sized(out.sparkSession.createDataFrame(counts, "node int, low double, below long, n long"), len(counts))
+    far = far.join(bounds, "node").filter(F.col("low").isNull() | (F.col("e") >= F.col("low"))).drop("low")
+    far = place(far, [F.col("e")], keep).withColumn("slot", F.col("slot") + F.col("below"))
+    at = 0.95 * (F.col("n") - 1)
+    near = far.filter((F.col("slot") == F.floor(at)) | (F.col("slot") == F.ceil(at))).groupBy("node", "n").agg(F.min("e").alias("lo"), F.max("e").alias("hi"))
     return near.select("node", (F.col("lo") + (F.col("hi") - F.col("lo")) * (at - F.floor(at))).alias("own_error"))

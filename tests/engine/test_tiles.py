@@ -244,3 +244,35 @@ def test_interrupted_conversion_goes_on(spark, tmp_path, splats, monkeypatch):
     assert json.load(open(f"{out}/tileset.json")) == json.load(open(f"{whole}/tileset.json"))
     names = sorted(os.path.relpath(os.path.join(d, f), whole) for d, _, fs in os.walk(whole) for f in fs if f.endswith(".glb"))
     assert len(names) > 3 and all(open(f"{out}/{n}", "rb").read() == open(f"{whole}/{n}", "rb").read() for n in names)
+
+
+def test_rows_are_placed_and_assigned_without_sorting_pairs(spark, splats, monkeypatch):
+    rows = splats.withColumns({"node": F.lit(0), "o1": F.lit(0).cast("long"), "o2": F.col("splat_id")})
+    n, placed, plain = splats.count(), [], lod.place
+
+    def watched(at, order, keep):
+        placed.append(at)
+        return plain(at, order, keep)
+
+    monkeypatch.setattr(lod, "place", watched)
+    low = rows.agg(*[F.min(c) for c in "xyz"], *[F.max(c) for c in "xyz"]).first()
+    keep = Tables(spark, "watched")
+    tile = {"node": 0, "target": n // 2, "low": low[:3], "ext": [b - a for a, b in zip(low[:3], low[3:])]}
+    out, error = lod.simplify(rows, [tile], keep=keep)
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan(placed[0])  # not computed twice, for the bounds of a range partition and to deal rows
+    assert placed[1].count() < 0.1 * n  # of all errors, only the upper ones are sorted
+    grid, _ = lod.fit_grid(rows, [dict(tile)])
+    at = lod.with_voxel(rows, grid)
+    assert "SortAggregate" not in lod.assign(at, lod.select(at, keep))._jdf.queryExecution().executedPlan().toString()
+    e = lod.assign(at, lod.select(at, keep)).join(out.select("slot", *[F.col(c).alias(f"t{c}") for c in "xyz"], F.col("radius").alias("tr")), "slot").toPandas()
+    d = sum((e[c].astype(float) - e[f"t{c}"].astype(float)) ** 2 for c in "xyz") ** 0.5 + e["radius"].astype(float) + e["tr"].astype(float)
+    assert error.first().own_error == pytest.approx(np.quantile(d, 0.95), rel=1e-12)
+
+
+def test_percentile_of_few_and_equal_errors(spark):
+    for values in ([3.0], [1.0, 2.0], [5.0] * 40, [1.0] * 97 + [2.0, 3.0, 4.0], [float(k * k % 101) for k in range(101)]):
+        row = "node int, slot long, x float, y float, z float, radius float"
+        assigned = spark.createDataFrame([(0, 0, v, 0.0, 0.0, 0.0) for v in values], row)
+        out = spark.createDataFrame([(0, 0, 0.0, 0.0, 0.0, 0.0)], row)
+        assert lod.own_error(assigned, out).first().own_error == pytest.approx(np.quantile(values, 0.95), rel=1e-12)
