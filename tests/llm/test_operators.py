@@ -789,3 +789,16 @@ def test_passages_partners_far_apart_in_a_group(spark):
         whole = [got[i].dup_words >= n - 2 for i, (_, n) in enumerate(own)]
         print("WHOLE", cell, sum(whole))
         assert sum(whole) >= 0.99 * len(own)
+
+
+def test_fast_orders_are_stable():
+    from splatlake.llm import passages
+
+    rng = np.random.default_rng(5)
+    for n in (0, 1, 1000, 1024, 5000):
+        for high in (1, 7, 1 << 40, 1 << 63):
+            v = rng.integers(0, high, n).astype(np.uint64)
+            v = np.concatenate([v, v[: n // 3]])
+            assert (passages.ordered(v) == np.argsort(v, kind="stable")).all()
+            block = (v % np.uint64(1 << 17)).astype(np.int32)
+            assert (passages._cells(block)[0] == np.argsort(block, kind="stable")).all()
